@@ -45,3 +45,24 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {q.__name__: q for q in (p3_found, p3_rows_a, p3_rows_b, p4_found, p4_cells)}
+
+
+def _differences_sql(side: str, names: tuple[str, ...]) -> str:
+    table = side.lower()
+    cells = " UNION ALL ".join(
+        f"SELECT '{side}', s.id, '{c}', CAST(s.{c} AS VARCHAR), CAST(k.{c} AS VARCHAR) FROM s{table} s JOIN copy_{table} k ON s.id = k.id WHERE s.{c} IS DISTINCT FROM k.{c}"
+        for c in names
+        if c != "id"
+    )
+    return f"""SELECT '{side}' AS side, s.id AS id, 'missing_in_copy' AS finding, NULL AS source_value, NULL AS copy_value FROM s{table} s ANTI JOIN copy_{table} k ON s.id = k.id
+        UNION ALL SELECT '{side}', k.id, 'missing_in_source', NULL, NULL FROM copy_{table} k ANTI JOIN s{table} s ON s.id = k.id
+        UNION ALL {cells}"""
+
+
+def oracle_sql() -> dict[str, str]:
+    ctes = ", ".join(f"s{s.lower()} AS (SELECT DISTINCT {', '.join(LAYOUT[s])} FROM source_{s.lower()} WHERE id IS NOT NULL)" for s in "AB")
+    cells = f"WITH {ctes}, cells AS ({_differences_sql('A', LAYOUT['A'])} UNION ALL {_differences_sql('B', LAYOUT['B'])})"
+    return {
+        "p4_found": f"{cells} SELECT side, id, finding FROM cells",
+        "p4_cells": f"{cells} SELECT side, id, finding, source_value, copy_value FROM cells",
+    }
