@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.llm.history import repeated_rows
+from tallyloom.llm.mixing import mix_report, mix_sources
 from tallyloom.llm.nearest import nearest_in_time, party_key
-from tallyloom.session import read_table
+from tallyloom.llm.tokens import encode_corpus, token_counts
+from tallyloom.session import cut, read_table
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,8 +24,29 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("left_id").alias("a_row_id"), F.col("right_id").alias("b_row_id"))
 
 
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_corpus(read_table(spark, sf_dir, "documents"))
+
+
+def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with their size in tokens, and as quality weight the mean length of a
+    token: text in a wrong encoding or of rare symbols falls into short tokens."""
+    sized = cut(token_counts(read_table(spark, sf_dir, "documents"), ["doc_id", "source"]), "sized")
+    per_token = F.col("n_chars") / F.nullif(F.col("n_tokens"), F.lit(0))
+    return sized.withColumn("weight", F.least(F.greatest(per_token / 4, F.lit(0.25)), F.lit(1.0)))
+
+
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(_sized(spark, sf_dir), read_table(spark, sf_dir, "mix_targets"))
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sized, targets = _sized(spark, sf_dir), read_table(spark, sf_dir, "mix_targets")
+    return mix_report(sized, mix_sources(sized, targets), targets)
+
+
 def queries() -> dict:
-    return {q.__name__: q for q in (p2_found, p6_found)}
+    return {q.__name__: q for q in (p2_found, p6_found, p7_ids, p8_mix, p8_shares)}
 
 
 def oracle_sql() -> dict[str, str]:
