@@ -7,11 +7,25 @@ from pyspark.sql import functions as F
 
 from tallyloom.llm.history import repeated_rows
 from tallyloom.llm.mixing import mix_report, mix_sources
+from tallyloom.llm.names import link_names, variant_pairs
 from tallyloom.llm.nearest import nearest_in_time, party_key
 from tallyloom.llm.tokens import encode_corpus, token_counts
 from tallyloom.session import cut, read_table
 
 
+def _typed_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = (read_table(spark, sf_dir, t).select(F.col("counterparty").alias("name")) for t in ("source_a", "source_b"))
+    return a.unionAll(b)
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variant_pairs(link_names(_typed_names(spark, sf_dir)))
+
+
+def p1_parties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_names(_typed_names(spark, sf_dir))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = repeated_rows(read_table(spark, sf_dir, "source_a"), "description").withColumn("side", F.lit("A"))
     b = repeated_rows(read_table(spark, sf_dir, "source_b"), "memo").withColumn("side", F.lit("B"))
@@ -46,7 +60,7 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {q.__name__: q for q in (p2_found, p6_found, p7_ids, p8_mix, p8_shares)}
+    return {q.__name__: q for q in (p1_found, p1_parties, p2_found, p6_found, p7_ids, p8_mix, p8_shares)}
 
 
 def oracle_sql() -> dict[str, str]:
