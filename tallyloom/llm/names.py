@@ -110,7 +110,7 @@ def word_readings(token: str, words: tuple[str, ...]) -> dict[str, float]:
             out[w] = ABBREVIATED
         elif 3 <= len(token) < len(w) and token[0] == w[0] and _subsequence(token, w):
             out[w] = SPELT_SHORT
-    if not out and len(token) >= 5:  # an abbreviation with a typo, told by its head
+    if not out and len(token) >= 5 and words is TRADES:  # an abbreviation with a typo, told by its head
         for w in words:
             if w.startswith(token[:4]) and len(token) < len(w):
                 out[w] = ABBREVIATED + TYPO
