@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.llm.history import repeated_rows
+from tallyloom.llm.linkage import bank_records, ledger_records, link_records, with_repeats
 from tallyloom.llm.mixing import mix_report, mix_sources
 from tallyloom.llm.names import link_names, variant_pairs
 from tallyloom.llm.nearest import nearest_in_time, party_key
@@ -32,6 +33,26 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.unionByName(b).select("side", "first_row_id", "repeat_row_id")
 
 
+def _payments(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Linked records, and the repeats of either side."""
+    a, b = read_table(spark, sf_dir, "source_a"), read_table(spark, sf_dir, "source_b")
+    parties = cut(link_names(_typed_names(spark, sf_dir)), "parties")
+    again_a, again_b = cut(repeated_rows(a, "description"), "repeats"), cut(repeated_rows(b, "memo"), "repeats")
+    first = lambda rows, again: rows.join(again.select(F.col("repeat_row_id").alias("row_id")), "row_id", "left_anti")
+    bank, ledger = cut(bank_records(first(a, again_a), parties), "bank"), cut(ledger_records(first(b, again_b), parties), "ledger")
+    return link_records(bank, ledger), again_a, again_b
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = with_repeats(*_payments(spark, sf_dir))
+    return pairs.select(F.col("a").alias("a_row_id"), F.col("b").alias("b_row_id"))
+
+
+def p5_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = with_repeats(*_payments(spark, sf_dir))
+    return pairs.select(F.col("a").alias("a_row_id"), F.col("b").alias("b_row_id"), F.round("confidence", 6).alias("confidence"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = (read_table(spark, sf_dir, t).withColumn("entity", party_key(F.col("counterparty"))) for t in ("source_a", "source_b"))
     pairs = nearest_in_time(a, b, "entity", "booked_at", "row_id", "row_id")
@@ -60,7 +81,7 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {q.__name__: q for q in (p1_found, p1_parties, p2_found, p6_found, p7_ids, p8_mix, p8_shares)}
+    return {q.__name__: q for q in (p1_found, p1_parties, p2_found, p5_found, p5_links, p6_found, p7_ids, p8_mix, p8_shares)}
 
 
 def oracle_sql() -> dict[str, str]:
