@@ -10,6 +10,7 @@ from tallyloom.llm.linkage import bank_records, ledger_records, link_records, wi
 from tallyloom.llm.mixing import mix_report, mix_sources
 from tallyloom.llm.names import link_names, variant_pairs
 from tallyloom.llm.nearest import nearest_in_time, party_key
+from tallyloom.llm.pii import disclosure, personal_spans, sanitised, scan
 from tallyloom.llm.tokens import encode_corpus, token_counts
 from tallyloom.session import cut, read_table
 
@@ -80,8 +81,22 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(sized, mix_sources(sized, targets), targets)
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_spans(read_table(spark, sf_dir, "documents")).select("doc_id", "pii_type", "pii_text").distinct()
+
+
+def p9_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read_table(spark, sf_dir, "documents")
+    return sanitised(documents, personal_spans(documents))
+
+
+def p9_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    terms = disclosure(cut(scan(read_table(spark, sf_dir, "documents")), "pii-scan"))
+    return terms.withColumn("bits", F.round("bits", 6))
+
+
 def queries() -> dict:
-    return {q.__name__: q for q in (p1_found, p1_parties, p2_found, p5_found, p5_links, p6_found, p7_ids, p8_mix, p8_shares)}
+    return {q.__name__: q for q in (p1_found, p1_parties, p2_found, p5_found, p5_links, p6_found, p7_ids, p8_mix, p8_shares, p9_found, p9_text, p9_terms)}
 
 
 def oracle_sql() -> dict[str, str]:
