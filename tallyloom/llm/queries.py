@@ -28,20 +28,29 @@ def p1_parties(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_names(_typed_names(spark, sf_dir))
 
 
+def _delivered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of both tables under common names; their row ids differ."""
+    shared = ["row_id", "id", "booked_at", "amount", "currency", "reference", "counterparty"]
+    a = read_table(spark, sf_dir, "source_a").select(*shared, F.col("description").alias("text"), F.lit("A").alias("side"))
+    b = read_table(spark, sf_dir, "source_b").select(*shared, F.col("memo").alias("text"), F.lit("B").alias("side"))
+    return a.unionByName(b)
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = repeated_rows(read_table(spark, sf_dir, "source_a"), "description").withColumn("side", F.lit("A"))
-    b = repeated_rows(read_table(spark, sf_dir, "source_b"), "memo").withColumn("side", F.lit("B"))
-    return a.unionByName(b).select("side", "first_row_id", "repeat_row_id")
+    rows = _delivered(spark, sf_dir)
+    repeats = repeated_rows(rows, "text", "side")
+    sides = rows.select(F.col("row_id").alias("first_row_id"), "side")
+    return repeats.join(sides, "first_row_id").select("side", "first_row_id", "repeat_row_id")
 
 
-def _payments(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _payments(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Linked records, and the repeats of either side."""
-    a, b = read_table(spark, sf_dir, "source_a"), read_table(spark, sf_dir, "source_b")
-    parties = cut(link_names(_typed_names(spark, sf_dir)), "parties")
-    again_a, again_b = cut(repeated_rows(a, "description"), "repeats"), cut(repeated_rows(b, "memo"), "repeats")
-    first = lambda rows, again: rows.join(again.select(F.col("repeat_row_id").alias("row_id")), "row_id", "left_anti")
-    bank, ledger = cut(bank_records(first(a, again_a), parties), "bank"), cut(ledger_records(first(b, again_b), parties), "ledger")
-    return link_records(bank, ledger), again_a, again_b
+    parties = cut(link_names(_typed_names(spark, sf_dir)).select("name", "party"), "parties")
+    again = cut(repeated_rows(_delivered(spark, sf_dir), "text", "side"), "repeats")
+    first = lambda records: cut(records.join(again.select(F.col("repeat_row_id").alias("id")), "id", "left_anti"), "records")
+    bank = first(bank_records(read_table(spark, sf_dir, "source_a"), parties))
+    ledger = first(ledger_records(read_table(spark, sf_dir, "source_b"), parties))
+    return link_records(bank, ledger), again
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
