@@ -14,8 +14,10 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -155,8 +157,11 @@ _AUTHOR = re.compile(r"\\author\b|\\and\b|\\thanks\b|\\address\b|\\email\b|last
 _CLEANUP = re.compile(r"\\[^A-Za-z]|\\(?:o|O)(?![A-Za-z])|[{}]")
 
 
+@lru_cache(maxsize=100_000)
 def term(word: str) -> str:
     """A word as it is counted: markup, wrong decoding, case and marks undone."""
+    if word.isascii() and word.isalpha():
+        return word.lower()
     word = re.sub(r"\\(?:o|O)(?![a-zA-Z])", "o", word)
     word = re.sub(r"\\(?:ss)(?![a-zA-Z])", "ss", word)
     word = re.sub(r"\\(?:l|L)(?![a-zA-Z])", "l", word)
@@ -190,6 +195,8 @@ def pieces(chunk: str) -> list[tuple[str, str, str, int, int, int]]:
 def bibliography(text: str) -> list[tuple[int, int]]:
     """Spans of bibliographies; one without end runs to the end of the text."""
     out, at = [], 0
+    if "thebibliography" not in text and "\\bibitem" not in text:
+        return out
     while m := _BIB_BEGIN.search(text, at):
         if m[0].startswith("\\begin"):
             end = text.find(_BIB_END, m.end())
@@ -226,11 +233,12 @@ def name_chunks(text: str, typed: list[tuple[int, int, str, int]]) -> list[tuple
     return out
 
 
-def name_positions(chunk: str) -> list[tuple[str, str]]:
-    """(term, partner term): words that stand before another, where a given name would."""
+def name_positions(chunk: str) -> list[tuple[str, str | None]]:
+    """(term, partner term) of each word that stands before another, where a given name
+    would; words that may be a given name after a comma have no partner."""
     ps = pieces(chunk)
-    out = []
-    for k, (kind, _, word, *_rest) in enumerate(ps):
+    out: list[tuple[str, str | None]] = []
+    for k, (kind, link, word, *_rest) in enumerate(ps):
         if kind != "w" or term(word) in TITLES:
             continue
         j = k + 1
@@ -238,6 +246,8 @@ def name_positions(chunk: str) -> list[tuple[str, str]]:
             j += 1
         if j < len(ps) and ps[j][0] == "w" and not ps[j][1].startswith(","):
             out.append((term(word), term(ps[j][2])))
+        elif k and link.startswith(","):
+            out.append((term(word), None))
     return out
 
 
@@ -287,28 +297,43 @@ def names_in(chunk: str, given: set[str], company: bool) -> list[tuple[int, int]
 # -------------------------------------------------------------------- Spark
 
 
-def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        rows = []
-        for key, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-            typed = typed_spans(text)
-            rows.extend((key, kind, text[a:b], a, b, False, []) for a, b, kind, _ in typed)
-            for at, chunk, company in name_chunks(text, typed):
-                positions = name_positions(chunk)
-                words = [term(w) for kind, _, w, *_ in pieces(chunk) if kind == "w"]
-                if len(words) > 1 or company:
-                    rows.append((key, "?", chunk, at, at + len(chunk), company, words))
-                    for t, partner in positions:
-                        rows.append((key, "+", partner, 0, 0, company, [t]))
-        yield pd.DataFrame(rows, columns=["doc_id", "kind", "span", "lo", "hi", "company", "terms"]).astype({"doc_id": "int64", "lo": "int64", "hi": "int64", "company": bool})
+#: Characters of text whose findings are handed on at a time.
+GROUP_CHARS = 500_000
+_SCAN = pa.schema([("doc_id", pa.int64()), ("kind", pa.string()), ("span", pa.string()), ("lo", pa.int32()), ("hi", pa.int32()), ("company", pa.bool_()), ("term", pa.string())])
+
+
+def _findings(key: int, text: str) -> Iterator[tuple]:
+    typed = typed_spans(text)
+    for a, b, kind, _ in typed:
+        yield key, kind, text[a:b], a, b, False, None
+    for at, chunk, company in name_chunks(text, typed):
+        yield key, "?", chunk, at, at + len(chunk), company, None
+        for t, partner in name_positions(chunk):
+            yield key, "=" if partner is None else "+", partner, at, at, company, t
+
+
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows: list[tuple] = []
+    size = 0
+    pack = lambda: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _SCAN, strict=True)], schema=_SCAN)
+    for batch in batches:
+        for key, text in zip(batch.column(0), batch.column(1), strict=True):
+            text = text.as_py()
+            rows.extend(_findings(key.as_py(), text))
+            size += len(text)
+            if size >= GROUP_CHARS and rows:
+                yield pack()
+                rows, size = [], 0
+    if rows:
+        yield pack()
 
 
 def scan(documents: DataFrame) -> DataFrame:
-    """One pass over the whole texts: typed spans, name candidates (kind ``?``) and their
-    term counts (kind ``+``)."""
+    """One pass over the whole texts: typed spans, name candidates (kind ``?``) and the
+    terms in them, in name position (kind ``+``, the partner as span) or after a comma
+    (kind ``=``)."""
     texts = documents.where("doc_id is not null and text is not null and text <> ''").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    ddl = "doc_id long, kind string, span string, lo long, hi long, company boolean, terms array<string>"
-    return texts.mapInPandas(_scan, ddl)
+    return texts.mapInArrow(_scan, "doc_id long, kind string, span string, lo int, hi int, company boolean, term string")
 
 
 def disclosure(scanned: DataFrame) -> DataFrame:
@@ -318,7 +343,7 @@ def disclosure(scanned: DataFrame) -> DataFrame:
     name position and a protected entity beside it.  Counts are folded before they
     move, so a name on a third of all pages is one row a task.
     """
-    positions = scanned.where("kind = '+'").select(F.col("terms")[0].alias("term"), F.col("span").alias("partner"), F.col("company").cast("long").alias("company"))
+    positions = scanned.where("kind = '+'").select("term", F.col("span").alias("partner"), F.col("company").cast("long").alias("company"))
     pairs = positions.groupBy("term", "partner").agg(F.count("*").alias("positions"), F.sum("company").alias("company"))
     per_term = pairs.groupBy("term").agg(F.sum("positions").alias("positions"), F.sum("company").alias("company"), F.count("*").alias("partners"))
     base = per_term.agg((F.sum("company") / F.sum("positions")).alias("base"))
@@ -333,7 +358,7 @@ def given_names(scanned: DataFrame, least_company: float, least_partners: int) -
     """
     enough = F.greatest(F.lit(least_partners), F.least(PARTNER_SHARE * F.col("positions"), F.lit(MANY_PARTNERS)))
     first = cut(disclosure(scanned).where((F.col("company") >= least_company * F.col("positions")) & (F.col("partners") >= enough)).select("term", "positions"), "pii-terms")
-    before = scanned.where("kind = '+'").select(F.col("terms")[0].alias("term"), F.col("span").alias("partner")).groupBy("term", "partner").count()
+    before = scanned.where("kind = '+'").select("term", F.col("span").alias("partner")).groupBy("term", "partner").count()
     leading = before.join(first.select(F.col("term").alias("partner")), "partner").groupBy("term").agg(F.sum("count").alias("leads"))
     return first.join(leading, "term", "left").where("coalesce(leads, 0) < 0.5 * positions").select("term")
 
@@ -358,11 +383,12 @@ def personal_spans(documents: DataFrame, least_company: float = LEAST_COMPANY, l
     """
     scanned = cut(scan(documents), "pii-scan")
     terms = given_names(scanned, least_company, least_partners)
-    chunks = scanned.where("kind = '?'").withColumn("chunk_id", F.struct("doc_id", "lo"))
-    shapes = chunks.select(F.explode(F.array_distinct("terms")).alias("term"), "doc_id", "lo").join(terms, "term").groupBy("doc_id", "lo").agg(F.collect_set("term").alias("given"))
-    resolved = chunks.drop("chunk_id").join(shapes, ["doc_id", "lo"], "left").where(F.col("given").isNotNull() | F.col("company"))
+    chunks = scanned.where("kind = '?'")
+    words = scanned.where("kind in ('+', '=')").select("doc_id", "lo", "term")
+    shapes = words.join(terms, "term").groupBy("doc_id", "lo").agg(F.collect_set("term").alias("given"))
+    resolved = chunks.join(shapes, ["doc_id", "lo"], "left").where(F.col("given").isNotNull() | F.col("company"))
     persons = resolved.select("doc_id", "span", "lo", "company", "given").mapInPandas(_resolve, "doc_id long, pii_type string, pii_text string, lo long, hi long")
-    typed = scanned.where("kind not in ('?', '+')").select("doc_id", F.col("kind").alias("pii_type"), F.col("span").alias("pii_text"), "lo", "hi")
+    typed = scanned.where("kind not in ('?', '+', '=')").select("doc_id", F.col("kind").alias("pii_type"), F.col("span").alias("pii_text"), "lo", "hi")
     return typed.unionByName(persons)
 
 
