@@ -351,7 +351,7 @@ def _attach(variants: DataFrame, canonical: DataFrame) -> DataFrame:
 
 
 def link_names(names: DataFrame) -> DataFrame:
-    """(name, n, party): every spelling with its party.
+    """(name, n, party, stem): every spelling with its party and its folded main name.
 
     ``names`` has one column ``name`` with repeats; nulls and the unknown marks name
     nobody and are left out, as is nothing else: a blank or odd spelling is its own
@@ -384,7 +384,7 @@ def link_names(names: DataFrame) -> DataFrame:
         roots = roots.select("sig", "root")
         if done:
             break
-    return spelt.join(roots, "sig").select("name", "n", F.col("root").alias("party"))
+    return spelt.join(roots, "sig").select("name", "n", F.col("root").alias("party"), "stem")
 
 
 def variant_pairs(linked: DataFrame) -> DataFrame:

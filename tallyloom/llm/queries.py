@@ -25,7 +25,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_parties(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return link_names(_typed_names(spark, sf_dir))
+    return link_names(_typed_names(spark, sf_dir)).select("name", "n", "party")
 
 
 def _delivered(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +45,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _payments(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Linked records, and the repeats of either side."""
-    parties = cut(link_names(_typed_names(spark, sf_dir)).select("name", "party"), "parties")
+    parties = cut(link_names(_typed_names(spark, sf_dir)).select("name", "party", "stem"), "parties")
     again = cut(repeated_rows(_delivered(spark, sf_dir), "text", "side"), "repeats")
     first = lambda records: cut(records.join(again.select(F.col("repeat_row_id").alias("id")), "id", "left_anti"), "records")
     bank = first(bank_records(read_table(spark, sf_dir, "source_a"), parties))
