@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyloom.session import cut
+
 #: Bytes of a file that are looked at to tell encoding and separator.
 HEAD_BYTES = 65_536
 SEPARATORS = (",", ";", "\t", "|")
@@ -18,9 +20,9 @@ def sniff_encoding(head: bytes) -> str:
     for mark, name in ((b"\xef\xbb\xbf", "UTF-8"), (b"\xff\xfe", "UTF-16LE"), (b"\xfe\xff", "UTF-16BE")):
         if head.startswith(mark):
             return name
-    for cut in range(4):  # the head may end inside a character
+    for short in range(4 if len(head) >= HEAD_BYTES else 1):  # a full head may end inside a character
         try:
-            head[: len(head) - cut].decode("utf-8")
+            head[: len(head) - short].decode("utf-8")
             return "UTF-8"
         except UnicodeDecodeError:
             continue
@@ -64,7 +66,8 @@ def _head(spark: SparkSession, path: str) -> bytes:
         status = files[0]
     size = min(HEAD_BYTES, status.getLen())
     frame = spark.read.format("binaryFile").load(status.getPath().toString()).select(F.substring("content", 1, int(max(size, 1))).alias("head"))
-    return bytes(frame.first()["head"] or b"")
+    row = frame.first()
+    return bytes(row["head"] or b"") if row else b""
 
 
 def read_delimited(spark: SparkSession, path: str, separator: str | None = None, encoding: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -81,8 +84,12 @@ def read_delimited(spark: SparkSession, path: str, separator: str | None = None,
     import csv
 
     names = unique_headers(next(csv.reader([first], delimiter=separator), [])) if first else []
+    if not names:
+        none = spark.createDataFrame([], "raw_text string")
+        return none, none
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names] + [T.StructField("_corrupt", T.StringType())])
     raw = spark.read.option("header", True).option("sep", separator).option("encoding", encoding).option("multiLine", True).option("escape", '"').option("enforceSchema", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").schema(schema).csv(path)
+    raw = cut(raw, "delimited")  # rows and rejects come from one parse
     blank = " AND ".join(f"coalesce(trim(`{n}`), '') = ''" for n in names) or "true"
     rows = raw.where("_corrupt IS NULL").where(f"NOT ({blank})").select(*[F.trim(F.col(f"`{n}`")).alias(n) for n in names])
     return rows, raw.where("_corrupt IS NOT NULL").select(F.col("_corrupt").alias("raw_text"))
