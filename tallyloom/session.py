@@ -64,3 +64,9 @@ def shuffle_width(spark: SparkSession) -> int:
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data folder."""
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+
+
+def is_file(spark: SparkSession, path: str) -> bool:
+    """Whether a path is one file (a folder of part files is none)."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at).isFile()

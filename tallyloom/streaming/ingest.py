@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.session import scratch_path
+from tallyloom.session import is_file, scratch_path
 
 
 def deduplicated_stream(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
@@ -17,7 +17,7 @@ def deduplicated_stream(spark: SparkSession, path: str, columns: list[str]) -> D
     """
     schema = spark.read.parquet(path).schema
     folder, _, name = path.rstrip("/").rpartition("/")
-    single = not spark.read.format("binaryFile").option("pathGlobFilter", name).load(folder).isEmpty() if folder else False
+    single = is_file(spark, path)
     source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4)
     source = source.option("pathGlobFilter", name) if single else source
     rows = source.parquet(folder if single else path).select(*columns)
