@@ -154,7 +154,8 @@ _PARTICLE = r"(?:(?:von|van|de|der|den|del|della|di|da|dos|la|le|zu|ten|ter)[ ~]
 _CHUNK = re.compile(rf"(?:{_INITIAL}|(?<![\w\\{{}}])(?:{_WORD}(?:-{_WORD}|['’][A-Z]{_LETTER}+)*)|(?<=\{{)(?:{_WORD}(?:-{_WORD})*))(?:(?:{_LINK}|(?<=\.)){_PARTICLE}*(?:al-)?(?:{_INITIAL}|{_WORD}(?:-{_WORD}|['’][A-Z]{_LETTER}+)*))+")
 _SPLIT = re.compile(rf"(?P<link>{_LINK}?)(?P<part>{_PARTICLE}*)(?P<al>(?:al-)?)(?:(?P<init>{_INITIAL})(?!{_LETTER})|(?P<word>{_WORD}(?:-{_WORD}|['’][A-Z]{_LETTER}+)*))")
 _AUTHOR = re.compile(r"\\author\b|\\and\b|\\thanks\b|\\address\b|\\email\b|last edit ")
-_CLEANUP = re.compile(r"\\[^A-Za-z]|\\(?:o|O)(?![A-Za-z])|[{}]")
+# Words of thanks, after which persons are named.
+_THANKS = re.compile(r"(?i)\b(?:thank|merci|remerci|danken|gracias|agradec|grateful|indebted)")
 
 
 @lru_cache(maxsize=100_000)
@@ -211,7 +212,8 @@ def bibliography(text: str) -> list[tuple[int, int]]:
 def name_chunks(text: str, typed: list[tuple[int, int, str, int]]) -> list[tuple[int, str, bool]]:
     """(offset, chunk, company): runs of capitalised words outside bibliographies.
 
-    ``company`` tells whether a protected entity, an author block or a title is beside.
+    ``company`` tells whether a protected entity, an author block, a title or a word of
+    thanks is beside.
     """
     out = []
     closed = sorted([(a, b) for _, b, _, a in typed] + bibliography(text))
@@ -229,7 +231,8 @@ def name_chunks(text: str, typed: list[tuple[int, int, str, int]]) -> list[tuple
             beside = any(a < min(stop, m.end() + REACH) and b > max(begin, m.start() - REACH) for a, b, *_ in typed)
             titled = text[max(0, m.start() - 6) : m.start()].rstrip(" ~.").casefold().split(" ")[-1].strip("~.") in TITLES
             block = bool(_AUTHOR.search(text, begin, m.start()))
-            out.append((m.start(), m[0], beside or titled or block))
+            thanked = bool(_THANKS.search(text, max(begin, m.start() - 80), m.start()))
+            out.append((m.start(), m[0], beside or titled or block or thanked))
     return out
 
 

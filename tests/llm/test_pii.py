@@ -27,6 +27,8 @@ def persons(text):
 def test_persons():
     text = r"\author{Robert T. Vok \and Pifpa-Rel, Mei, Bj\"orn~von Kam\thanks{b@x.org} \and K. Zet}"
     assert persons(text) == ["Robert T. Vok", "Pifpa-Rel, Mei", r"Bj\"orn~von Kam", "K. Zet"]
+    assert persons("Merci à F. Kampiker ainsi qu'à Robert Vok.") == ["F. Kampiker", "Robert Vok"]
+    assert persons("See Section A. Models hold.") == []
     assert persons("By the Vok lemma, Robert ran. Frau RENÉ TAVI read it.") == ["RENÉ TAVI"]
     assert persons("\\begin{thebibliography}{9}\n\\bibitem{a} Robert Vok, x.\n\\end{thebibliography} RenÃ© Tavi") == ["RenÃ© Tavi"]
     assert term(r"S{\o}ren") == "soren" and term("RenÃ©") == "rene"
