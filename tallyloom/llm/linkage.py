@@ -1,7 +1,7 @@
 """Matching entities across sources without a key: label-model linkage.
 
 Candidates come from equality keys in two stages: equal references first, weaker keys
-only for records that stage left without a plausible partner.  On each candidate a set of matching
+for all records but those that stage settled beyond doubt.  On each candidate a set of matching
 functions votes (reference, amount, party, date, rarity), each with one of a few
 verdicts.  A generative model with a hidden "same payment" bit is fitted to the
 counts of the verdict patterns by expectation maximisation; it learns how often
@@ -299,18 +299,32 @@ def pattern_number() -> Column:
     return number.cast("int")
 
 
-def candidates(bank: DataFrame, ledger: DataFrame) -> DataFrame:
+def strong_candidates(bank: DataFrame, ledger: DataFrame) -> DataFrame:
+    """Voted candidates with an equal reference, and the number of their pattern."""
+    return cut(_compared(_meet(_reference_keys(bank), _reference_keys(ledger)), bank, ledger).withColumn("pattern", pattern_number()), "strong")
+
+
+def settling_patterns() -> set[int]:
+    """The patterns that settle two records if neither has another equal reference: a
+    near amount, and no other party."""
+    sizes = tuple(VOTES.values())
+    return {int(np.ravel_multi_index((1, amount, party, date), sizes)) for amount in range(4) for party in range(3) for date in range(sizes[3])}
+
+
+def candidates(bank: DataFrame, ledger: DataFrame, strong: DataFrame, settling: set[int]) -> DataFrame:
     """Voted candidates (a, b, lag, votes, single) of both stages; ``single`` if neither
     record has another candidate.
 
-    Records with an equal reference and a near amount are not sought under weaker
-    keys.  Weak keys never bring together two rows with quite different references,
-    nor amounts further apart than a tenth: like payments of one party stay apart.
+    Only two records that are each other's sole equal reference, under a pattern of
+    ``settling``, are not sought under weaker keys.  Weak keys never bring together two rows
+    with quite different references, nor amounts further apart than a tenth: like payments
+    of one party stay apart.
     """
-    strong = cut(_compared(_meet(_reference_keys(bank), _reference_keys(ledger)), bank, ledger), "strong")
-    solved = strong.where("v_amount < 4 and v_party <> 3")
-    bank_left = cut(bank.join(solved.select(F.col("a").alias("id")).distinct(), "id", "left_anti"), "bank-left")
-    ledger_left = cut(ledger.join(solved.select(F.col("b").alias("id")).distinct(), "id", "left_anti"), "ledger-left")
+    rivals = strong.withColumn("n_a", F.count("*").over(Window.partitionBy("a"))).withColumn("n_b", F.count("*").over(Window.partitionBy("b")))
+    settled = cut(rivals.where((F.col("n_a") == 1) & (F.col("n_b") == 1) & F.col("pattern").isin(sorted(settling))).select("a", "b"), "settled")
+    bank_left = cut(bank.join(settled.select(F.col("a").alias("id")), "id", "left_anti"), "bank-left")
+    ledger_left = cut(ledger.join(settled.select(F.col("b").alias("id")), "id", "left_anti"), "ledger-left")
+    strong = strong.drop("pattern")
     weak = _compared(_meet(_weak_keys(bank_left, True), _weak_keys(ledger_left, False)), bank_left, ledger_left)
     # Equal references with the same party or amount are in the first stage already.
     both = strong.unionByName(weak.where("v_ref in (0, 2) and v_amount < 4 or v_ref = 1 and v_party <> 1 and v_amount <> 0"))
@@ -352,8 +366,16 @@ def link_records(bank: DataFrame, ledger: DataFrame, least: float = LEAST_CONFID
     to the next round.
     """
     spark = bank.sparkSession
-    voted = cut(candidates(bank, ledger).select("a", "b", "lag", "v_ref", "pattern", "single"), "voted")
-    patterns = spark.createDataFrame(fitted_patterns(voted), "pattern int, confidence double")
+    strong, settling = strong_candidates(bank, ledger), settling_patterns()
+    while True:
+        voted = cut(candidates(bank, ledger, strong, settling).select("a", "b", "lag", "v_ref", "pattern", "single"), "voted")
+        fitted = fitted_patterns(voted)
+        # A pattern that is not trusted settles nothing: its records are sought on.
+        doubted = settling & {pattern for pattern, confidence in fitted if confidence < least}
+        if not doubted:
+            break
+        settling -= doubted
+    patterns = spark.createDataFrame(fitted, "pattern int, confidence double")
     rating = F.struct("confidence", (F.col("v_ref") == 1).alias("same"), (-F.abs(F.coalesce("lag", F.lit(99)))).alias("near"), (-F.col("b")).alias("nb"), (-F.col("a")).alias("na"))
     rated = voted.join(F.broadcast(patterns), "pattern").where(F.col("confidence") >= least)  # at most 672 patterns
     done = rated.where("single").select("a", "b", "confidence")

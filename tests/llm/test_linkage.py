@@ -58,3 +58,13 @@ def test_empty_sides_and_repeats(spark):
     pairs = spark.createDataFrame([(1, 10, 0.9)], "a long, b long, confidence double")
     repeats = spark.createDataFrame([(1, 2), (10, 11), (10, 12)], "first_row_id long, repeat_row_id long")
     assert {(r.a, r.b) for r in with_repeats(pairs, repeats).collect()} == {(x, y) for x in (1, 2) for y in (10, 11, 12)}
+
+
+def test_a_record_that_loses_its_reference_finds_its_partner(spark):
+    a, b = tables(spark)
+    day, party = D0, "Robert Tefgirsoma"
+    bank = [(300, day, "TRF", "INV-990001", party, Decimal("495.34"), "EUR", "x"), (301, day, "TRF", "INV-990001", party, Decimal("465.21"), "EUR", "x")]
+    # Both bank rows name the first invoice; the second one's own partner names none.
+    ledger = [(3000, day, "m", "VCH-1", "INV-990001", party, Decimal("495.34"), "EUR", "x"), (3001, day, "m", "VCH-2", None, party, Decimal("465.21"), "EUR", "x")]
+    rows = link(spark, a.unionByName(spark.createDataFrame(bank, A)), b.unionByName(spark.createDataFrame(ledger, B))).collect()
+    assert {(300, 3000), (301, 3001)} <= {(r.a, r.b) for r in rows}
