@@ -24,7 +24,6 @@ DAYS_BEFORE = 5
 DAYS_AFTER = 2
 SLOT_DAYS = DAYS_BEFORE + DAYS_AFTER
 LEAST_CONFIDENCE = 0.5
-ROUNDS = 2
 
 
 # ---------------------------------------------------------------- label model
@@ -362,8 +361,8 @@ def link_records(bank: DataFrame, ledger: DataFrame, least: float = LEAST_CONFID
     Input as ``bank_records`` and ``ledger_records`` give it; any column but ``id`` may be
     null (a null votes "don't know"); an empty side gives an empty result.  Pairs
     below ``least`` are dropped.  Each round pairs records that are each other's best
-    (posterior, then equal reference, nearer date, smaller ids), and leaves the rest
-    to the next round.
+    (posterior, then equal reference, nearer date, same place among equally rated rivals,
+    smaller ids), and leaves the rest to the next round, until nothing is left.
     """
     spark = bank.sparkSession
     strong, settling = strong_candidates(bank, ledger), settling_patterns()
@@ -376,18 +375,23 @@ def link_records(bank: DataFrame, ledger: DataFrame, least: float = LEAST_CONFID
             break
         settling -= doubted
     patterns = spark.createDataFrame(fitted, "pattern int, confidence double")
-    rating = F.struct("confidence", (F.col("v_ref") == 1).alias("same"), (-F.abs(F.coalesce("lag", F.lit(99)))).alias("near"), (-F.col("b")).alias("nb"), (-F.col("a")).alias("na"))
     rated = voted.join(F.broadcast(patterns), "pattern").where(F.col("confidence") >= least)  # at most 672 patterns
     done = rated.where("single").select("a", "b", "confidence")
     # Only records with a choice go through the rounds.
-    left = cut(rated.where("not single").select("a", "b", "confidence", rating.alias("r")), "rated")
-    for k in range(ROUNDS):
-        best_a = left.groupBy("a").agg(F.max_by(F.struct("b", "confidence"), "r").alias("x")).select("a", "x.b", "x.confidence")
-        best_b = left.groupBy("b").agg(F.max_by("a", "r").alias("a"))
+    level = F.struct("confidence", (F.col("v_ref") == 1).alias("same"), (-F.abs(F.coalesce("lag", F.lit(99)))).alias("near"))
+    left = cut(rated.where("not single").select("a", "b", "confidence", level.alias("level")), "rated")
+    while not left.isEmpty():
+        # The k-th of equally rated rivals asks for the k-th: like payments pair at once.
+        at_a = F.row_number().over(Window.partitionBy("b", "level").orderBy("a"))
+        at_b = F.row_number().over(Window.partitionBy("a", "level").orderBy("b"))
+        rating = F.struct("level", (-F.abs(F.col("at_a") - F.col("at_b"))).alias("apart"), (-F.col("b")).alias("nb"), (-F.col("a")).alias("na"))
+        placed = left.withColumn("at_a", at_a).withColumn("at_b", at_b).select("a", "b", "confidence", rating.alias("r"))
+        best_a = placed.groupBy("a").agg(F.max_by(F.struct("b", "confidence"), "r").alias("x")).select("a", "x.b", "x.confidence")
+        best_b = placed.groupBy("b").agg(F.max_by("a", "r").alias("a"))
+        # The best rated pair of all is mutual, so each round pairs some.
         paired = cut(best_a.join(best_b, ["a", "b"]), "paired")
         done = done.unionByName(paired)
-        if k + 1 < ROUNDS:
-            left = left.join(paired.select("a"), "a", "left_anti").join(paired.select("b"), "b", "left_anti")
+        left = cut(left.join(paired.select("a"), "a", "left_anti").join(paired.select("b"), "b", "left_anti"), "rated")
     return done
 
 

@@ -68,3 +68,12 @@ def test_a_record_that_loses_its_reference_finds_its_partner(spark):
     ledger = [(3000, day, "m", "VCH-1", "INV-990001", party, Decimal("495.34"), "EUR", "x"), (3001, day, "m", "VCH-2", None, party, Decimal("465.21"), "EUR", "x")]
     rows = link(spark, a.unionByName(spark.createDataFrame(bank, A)), b.unionByName(spark.createDataFrame(ledger, B))).collect()
     assert {(300, 3000), (301, 3001)} <= {(r.a, r.b) for r in rows}
+
+
+def test_like_payments_all_pair(spark):
+    a, b = tables(spark)
+    same = (D0, "TRF", None, "Robert Tefgirsoma", Decimal("77.70"), "EUR", "x")
+    bank = [(400 + k, *same) for k in range(5)]
+    ledger = [(4000 + k, D0, "m", "VCH-1", None, *same[3:]) for k in range(6)]
+    rows = link(spark, a.unionByName(spark.createDataFrame(bank, A)), b.unionByName(spark.createDataFrame(ledger, B))).collect()
+    assert {(r.a, r.b) for r in rows if r.a >= 400} == {(400 + k, 4000 + k) for k in range(5)}
