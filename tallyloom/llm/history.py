@@ -2,7 +2,7 @@
 
 A record is treated like a document: the hash of its normalised identity is its
 *content hash*, the hashes of the parts that survive editing (clock with amount and
-currency; for rows without a clock the folded text parts) are its
+currency; for rows without a clock reference and party with those) are its
 *paragraph hashes*.  Hashes live in tables bucketed by hash, so finding full
 copies and shared paragraphs is a semi-join inside each bucket, without moving
 the history; afterwards the hashes of the new batch are appended.
@@ -42,7 +42,7 @@ def record_parts(rows: DataFrame, text: str, within: str | None = None) -> DataF
         F.unix_micros(F.col("booked_at").cast("timestamp")).alias("micros"),
         F.col("amount").cast("decimal(24,8)").alias("amount"),
         F.upper(F.trim("currency")).alias("currency"),
-        F.substring(F.col(text), 1, 40).alias("raw_text"),
+        F.col(text).alias("raw_text"),
         F.col("reference").alias("raw_ref"),
         F.col("counterparty").alias("raw_party"),
     )
@@ -50,9 +50,8 @@ def record_parts(rows: DataFrame, text: str, within: str | None = None) -> DataF
 
 
 def _folded() -> dict[str, Column]:
-    """Texts folded for comparison; of the running text only its beginning, as
-    redeliveries cut it short."""
-    return {"text": F.substring(fold(F.col("raw_text")), 1, 8), "ref": fold(F.col("raw_ref")), "party": fold(F.col("raw_party"))}
+    """Texts folded whole for comparison."""
+    return {"text": fold(F.col("raw_text")), "ref": fold(F.col("raw_ref")), "party": fold(F.col("raw_party"))}
 
 
 def _clock() -> Column:
@@ -64,8 +63,10 @@ def _clock() -> Column:
 def hash_rows(parts: DataFrame) -> DataFrame:
     """(h, row_id): the content hash and the paragraph hashes of each record."""
     value = [F.col("within"), F.col("amount"), F.col("currency")]
-    # Without a clock the folded texts stand in; they are not folded for other rows.
-    timed = F.when(F.col("micros").isNotNull(), F.xxhash64(F.lit("clock"), _clock(), *value)).otherwise(F.xxhash64(F.lit("plain"), *_folded().values(), *value))
+    # Without a clock reference and party stand in, folded for no other rows; the text may
+    # have been cut short and is left to the exact check.
+    texts = _folded()
+    timed = F.when(F.col("micros").isNotNull(), F.xxhash64(F.lit("clock"), _clock(), *value)).otherwise(F.xxhash64(F.lit("plain"), texts["ref"], texts["party"], *value))
     coded = F.when(F.col("code").isNotNull(), F.xxhash64(F.lit("code"), "within", "code"))
     return parts.select("row_id", F.explode(F.array_compact(F.array(coded, timed))).alias("h")).select("h", "row_id")
 
@@ -110,28 +111,54 @@ class HashHistory:
         self.spark.sql(f"drop table if exists {self.table}")
 
 
+def _text_keys(asked: DataFrame) -> DataFrame:
+    """(row_id, k1, k2): rows of (row_id, k1, k2, text) get one key if under the given key
+    their texts are equal, or one text begins the other.
+
+    A text stands under itself whole, and under each of its beginnings that is the whole
+    text of another row.
+    """
+    under = lambda text: (F.xxhash64("k1", text).alias("k1"), F.xxhash64(F.lit("text"), text, "k2").alias("k2"))
+    whole = asked.select("row_id", *under(F.col("text")))
+    long = F.length("text")
+    # Only keys with texts of several lengths go on; each row has as many beginnings.
+    lengths = asked.groupBy("k1", "k2").agg(F.collect_set(long).alias("lengths")).where(F.size("lengths") > 1)
+    begun = asked.join(lengths, ["k1", "k2"]).withColumn("n", F.explode(F.filter("lengths", lambda n: n < long)))
+    begun = begun.select("row_id", *under(F.col("text").substr(F.lit(1), F.col("n"))))
+    return whole.unionByName(begun.join(whole.select("k1", "k2"), ["k1", "k2"], "left_semi").select("row_id", "k1", "k2"))
+
+
 def _evidence(parts: DataFrame) -> DataFrame:
     """(row_id, k1, k2): keys under which two rows deliver one record, as 128 bits.
 
     Same code with the same amount; or same clock, amount and currency in a common
     time slot, with one of text, reference and counterparty agreeing; or, without a
     clock, everything agreeing.  Each row stands in its own slot and the next, so
-    rows nearer than one slot always meet.
+    rows nearer than one slot always meet.  Texts agree if one begins the other, as
+    redeliveries cut them short; without a clock only if there is a reference, or all
+    digits stand in both, as one beginning may be of many payments.
     """
     # Amounts are hashed once; both halves of a key build on it.
     parts = parts.select("*", F.xxhash64("within", "amount", "currency").alias("value"), F.xxhash64("currency", "amount", "within", F.lit(2)).alias("value2"), *[c.alias(n) for n, c in _folded().items()], _clock().alias("clock"), F.floor(F.col("micros") / F.lit(SLOT_US)).cast("long").alias("slot"))
+    parts = cut(parts.drop("raw_text", "raw_ref", "raw_party"), "parts")
     word = lambda kind, *cs: F.struct(F.xxhash64(F.lit(kind), *cs, "value").alias("k1"), F.xxhash64("value2", *cs, F.lit(kind)).alias("k2"))
     timed = F.col("clock").isNotNull()
     bare = (F.col("text") == "") & (F.col("ref") == "") & (F.col("party") == "")
-    slots = []
+    slots, texts = [], []
     for step in (0, 1):
         at = [F.col("clock"), F.col("slot") + step]
-        for part in ("text", "ref", "party"):
+        for part in ("ref", "party"):
             slots.append(F.when(timed & (F.col(part) != ""), word(part, *at, F.lit(part), F.col(part))))
         slots.append(F.when(timed & bare, word("bare", *at)))
+        texts.append(F.when(timed, word("text", *at)))
     slots.append(F.when(F.col("code").isNotNull(), word("code", F.lit("code"), F.col("code"))))
     slots.append(F.when(~timed, word("plain", F.lit("plain"), F.col("text"), F.col("ref"), F.col("party"))))
-    return parts.select("row_id", F.explode(F.array_compact(F.array(*slots))).alias("k")).select("row_id", "k.k1", "k.k2")
+    digits = F.regexp_replace("text", r"\P{N}+", "")
+    texts.append(F.when(~timed & (F.col("ref") != ""), word("plain-ref", F.col("ref"), F.col("party"))))
+    texts.append(F.when(~timed & (F.col("ref") == "") & (digits != ""), word("plain-digits", digits, F.col("party"))))
+    keys = lambda columns: F.explode(F.array_compact(F.array(*columns))).alias("k")
+    asked = parts.where("text <> ''").select("row_id", keys(texts), "text").select("row_id", "k.k1", "k.k2", "text")
+    return parts.select("row_id", keys(slots)).select("row_id", "k.k1", "k.k2").unionByName(_text_keys(asked))
 
 
 def first_of_record(evidence: DataFrame) -> DataFrame:
@@ -163,7 +190,7 @@ def repeated_rows(rows: DataFrame, text: str, within: str | None = None) -> Data
     and the column named ``text``; other columns are ignored.  Rows with a null
     ``row_id`` are left out.  Nulls in other columns never count as agreement, save that
     rows without clock must agree in all folded parts (null and empty text being
-    one).  Rows delivered letter for letter again, in the same batch or later, are
+    one; a text cut short agrees under a reference, or if it kept all digits).  Rows delivered letter for letter again, in the same batch or later, are
     repeats.  An empty table gives an empty result.  With ``within``, several tables
     whose row ids differ are handled at once, each on its own.
 

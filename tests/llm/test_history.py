@@ -59,3 +59,26 @@ def test_a_record_on_a_third_of_rows(spark):
     rows = [row(k, "BST-1111111111") for k in range(100)] + [row(1000 + k, f"BST-{k:010d}", at=T0 + dt.timedelta(milliseconds=1001 * (k + 1))) for k in range(200)]
     got = repeated_rows(spark.createDataFrame(rows, DDL), "description").collect()
     assert len(got) == 99 and {r.first_row_id for r in got} == {0}
+
+
+def test_whole_texts_are_compared(spark):
+    bare = dict(ref=None, party="Acme")
+    rows = [
+        # Without a clock: numbers behind like beginnings are other payments.
+        row(1, None, at=None, text="paiement facture 3020247", **bare),
+        row(2, None, at=None, text="paiement facture 3020251", **bare),
+        row(3, None, at=None, text="Paiement, facture 3020247", **bare),
+        row(4, None, at=None, text="paiement facture 3020247 du mois", **bare),
+        row(5, None, at=None, text="paiement fac", **bare),
+        # Under a reference a text may be cut short.
+        row(10, None, at=None, text="paiement facture", ref="F-1", amount="20"),
+        row(11, None, at=None, text="paiement", ref="F-1", amount="20"),
+        row(12, None, at=None, text="virement", ref="F-1", amount="20"),
+        # With a clock the text alone may tell, wherever its letters stand.
+        row(20, None, text="-" * 45 + "steel for May", ref=None, party=None, amount="30"),
+        row(21, None, text="steel for", ref=None, party=None, amount="30"),
+        row(22, None, text="steel for June", ref=None, party="Other", amount="40"),
+        row(23, None, text="steel for May", ref=None, party="Acme", amount="40"),
+    ]
+    got = {tuple(r) for r in repeated_rows(spark.createDataFrame(rows, DDL), "description").collect()}
+    assert got == {(1, 3), (1, 4), (10, 11), (20, 21)}
