@@ -55,3 +55,22 @@ def test_values(spark):
     assert one(spark, vl.name_uuid(str(uuid.NAMESPACE_URL), F.col("x")), x="Zürich") == str(uuid.uuid5(uuid.NAMESPACE_URL, "Zürich"))
     assert str(one(spark, vl.parsed_date(F.col("x")), x="20050102")) == "2005-01-02"
     assert one(spark, vl.parsed_date(F.col("x")), x="01/02/2005") is None
+
+
+def test_masks_of_every_identity(spark, tmp_path):
+    import re
+
+    from tallyloom.plans.reconcile import QUERIES
+
+    ids = ["BST-1234567890", " BST 03540 13050", "bst/12345.67890", "BST-1234567890-01", "1234567890123", "IMP9999-000001", "", "x", "abc", "abcd", "abcde"]
+    for table in ("copy_a", "copy_b"):
+        spark.createDataFrame([(i,) for i in ids], "id string").write.parquet(f"{tmp_path}/{table}.parquet")
+
+    def brute(text):
+        for pattern, word in tx.MASKS:
+            text = re.sub(pattern, word, text)
+        return text
+
+    assert {tuple(r) for r in QUERIES["masked_identities_whole"](spark, str(tmp_path)).collect()} == {(i, brute(i)) for i in ids}
+    stars = lambda i: i if len(i) <= 4 else "*" * (len(i) - 4) + i[-4:]
+    assert {tuple(r) for r in QUERIES["account_mask"](spark, str(tmp_path)).collect()} == {(i, stars(i)) for i in ids}
