@@ -230,6 +230,42 @@ def jaro_winkler_similarity(spark: SparkSession, d: str) -> DataFrame:
     return _name_pairs(spark, d).where(ascii_only("x") & ascii_only("y")).select("x", "y", F.round(sim.jaro_winkler_similarity(F.col("x"), F.col("y")), 6).alias("similarity"))
 
 
+def _whole_name_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct names of either table that share a word, or a word less one letter of
+    either, wherever it stands."""
+
+    def keyed(table: str, n: str) -> DataFrame:
+        words = F.array_distinct(F.filter(F.split(F.lower(n), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
+        less_one = lambda w: F.transform(F.sequence(F.lit(1), F.length(w)), lambda k: F.concat(F.substring(w, F.lit(1), k - 1), F.substring(w, k + 1, F.length(w))))
+        keys = F.array_distinct(F.filter(F.concat(words, F.flatten(F.transform(words, less_one))), lambda w: w != ""))
+        names = read_table(spark, d, table).select(F.col("counterparty").alias(n)).where("counterparty is not null").distinct()
+        return names.select(n, F.explode(keys).alias("k"))
+
+    return keyed("source_a", "x").join(keyed("source_b", "y"), "k").select("x", "y").distinct()
+
+
+@query()
+def levenshtein_similarity_whole(spark: SparkSession, d: str) -> DataFrame:
+    """The queries named whole score all names, whatever their letters and order of words;
+    the SQL of the others holds for one block of six letters (and two for ASCII) only."""
+    return _whole_name_pairs(spark, d).select("x", "y", F.round(sim.levenshtein_similarity(F.col("x"), F.col("y")), 6).alias("similarity"))
+
+
+@query()
+def trigram_similarity_whole(spark: SparkSession, d: str) -> DataFrame:
+    return _whole_name_pairs(spark, d).select("x", "y", F.round(sim.trigram_similarity(F.col("x"), F.col("y")), 6).alias("similarity"))
+
+
+@query()
+def token_set_ratio_whole(spark: SparkSession, d: str) -> DataFrame:
+    return _whole_name_pairs(spark, d).select("x", "y", sim.token_set_ratio(F.col("x"), F.col("y")).alias("ratio"))
+
+
+@query()
+def jaro_winkler_similarity_whole(spark: SparkSession, d: str) -> DataFrame:
+    return _whole_name_pairs(spark, d).select("x", "y", F.round(sim.jaro_winkler_similarity(F.col("x"), F.col("y")), 6).alias("similarity"))
+
+
 # ---------------------------------------------------------------- scans, filters
 
 

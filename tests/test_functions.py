@@ -74,3 +74,33 @@ def test_masks_of_every_identity(spark, tmp_path):
     assert {tuple(r) for r in QUERIES["masked_identities_whole"](spark, str(tmp_path)).collect()} == {(i, brute(i)) for i in ids}
     stars = lambda i: i if len(i) <= 4 else "*" * (len(i) - 4) + i[-4:]
     assert {tuple(r) for r in QUERIES["account_mask"](spark, str(tmp_path)).collect()} == {(i, stars(i)) for i in ids}
+
+
+def test_whole_name_pairs_against_brute_force(spark, tmp_path):
+    import re
+
+    from tallyloom.plans.reconcile import QUERIES
+
+    xs, ys = ["Falsinegtef, Dora", "Müller Bau", "Xcme Trading", "Ωmega", None], ["Dora Falsinegtef", "Dr. Dora Falsinegtef", "Muller Bau", "Acme Trading", "cme", "Ωmega", "Zeta"]
+    for table, names in (("source_a", xs), ("source_b", ys)):
+        spark.createDataFrame([(n,) for n in names], "counterparty string").write.parquet(f"{tmp_path}/{table}.parquet")
+
+    def keys(name):
+        words = re.findall(r"\w+", name.lower())
+        return {k for w in words for k in (w, *(w[:i] + w[i + 1 :] for i in range(len(w)))) if k}
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, p in enumerate(a, 1):
+            row, old = [i], row
+            for j, q in enumerate(b, 1):
+                row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (p != q)))
+        return row[-1]
+
+    want = {(x, y) for x in xs if x for y in ys if keys(x) & keys(y)}
+    assert {("Falsinegtef, Dora", "Dora Falsinegtef"), ("Müller Bau", "Muller Bau"), ("Xcme Trading", "Acme Trading"), ("Ωmega", "Ωmega")} <= want
+    got = {name: {(r[0], r[1]): r[2] for r in QUERIES[f"{name}_whole"](spark, str(tmp_path)).collect()} for name in ("levenshtein_similarity", "trigram_similarity", "token_set_ratio", "jaro_winkler_similarity")}
+    assert all(set(scores) == want for scores in got.values())
+    assert got["levenshtein_similarity"] == {(x, y): pytest.approx(1 - edits(x, y) / max(len(x), len(y)), abs=1e-6) for x, y in want}
+    assert got["jaro_winkler_similarity"] == {(x, y): pytest.approx(sim.jaro_winkler(x, y), abs=1e-6) for x, y in want}
+    assert got["token_set_ratio"]["Falsinegtef, Dora", "Dora Falsinegtef"] == 1
