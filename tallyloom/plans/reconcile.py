@@ -239,9 +239,11 @@ def _whole_name_pairs(spark: SparkSession, d: str) -> DataFrame:
         less_one = lambda w: F.transform(F.sequence(F.lit(1), F.length(w)), lambda k: F.concat(F.substring(w, F.lit(1), k - 1), F.substring(w, k + 1, F.length(w))))
         keys = F.array_distinct(F.filter(F.concat(words, F.flatten(F.transform(words, less_one))), lambda w: w != ""))
         names = read_table(spark, d, table).select(F.col("counterparty").alias(n)).where("counterparty is not null").distinct()
-        return names.select(n, F.explode(keys).alias("k"))
+        return names.select(n, keys.alias(f"k{n}")).select("*", F.explode(f"k{n}").alias("k"))
 
-    return keyed("source_a", "x").join(keyed("source_b", "y"), "k").select("x", "y").distinct()
+    # A pair counts under the least key it shares, so that no pair moves to be made distinct.
+    met = keyed("source_a", "x").join(keyed("source_b", "y"), "k")
+    return met.where(F.array_min(F.array_intersect("kx", "ky")) == F.col("k")).select("x", "y")
 
 
 @query()
