@@ -5,6 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,11 +30,15 @@ def build_session(master: str = "local[8]", app: str = "tallyloom", **conf: str)
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as ``spark.checkpoint.dir`` names it.
 
-    Only where the session leaves it unset (tests, a single machine) a local
-    temporary folder is taken, and the setting is filled in.
+    Only a session on a single machine may leave it unset (tests): a local temporary
+    folder is taken and the setting filled in.  On a cluster that would scatter a table
+    over the machines, so it is an error there.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="tallyloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
@@ -39,9 +46,60 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder for a table that cuts lineage."""
-    return f"{shared_dir(spark)}/tallyloom-{name}-{uuid.uuid4().hex[:12]}"
+def file_system(spark: SparkSession, path: str) -> tuple:
+    """The file system of a path, and the path as it takes it."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def scratch_path(spark: SparkSession, name: str, lasting: bool = False) -> str:
+    """A fresh path below the shared folder for a table that cuts lineage.
+
+    It is removed when the ``scratch`` block around the call ends, a ``lasting`` one or
+    one outside of blocks with the driver."""
+    root = f"{shared_dir(spark)}/tallyloom-{spark.sparkContext.applicationId}"
+    fs, at = file_system(spark, root)
+    if not fs.exists(at):
+        fs.mkdirs(at)
+        fs.deleteOnExit(at)
+    path = f"{root}/{name}-{uuid.uuid4().hex[:12]}"
+    if (open_blocks := _BLOCKS.get()) and not lasting:
+        open_blocks[-1].append(path)
+    return path
+
+
+_BLOCKS: ContextVar[tuple[list[str], ...]] = ContextVar("scratch_blocks", default=())
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared folder."""
+    fs, at = file_system(spark, path)
+    fs.delete(at, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """A block whose tables are removed at its end.
+
+    It gives a ``keep(df, name)`` that works as ``cut`` but whose table belongs to the
+    block around this one: what the block returns has to be kept.
+    """
+    outer, made = _BLOCKS.get(), []
+    token = _BLOCKS.set((*outer, made))
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        inner = _BLOCKS.set(outer)
+        try:
+            return cut(df, name)
+        finally:
+            _BLOCKS.reset(inner)
+
+    try:
+        yield keep
+    finally:
+        _BLOCKS.reset(token)
+        for path in made:
+            remove(spark, path)
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
@@ -68,5 +126,5 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def is_file(spark: SparkSession, path: str) -> bool:
     """Whether a path is one file (a folder of part files is none)."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at).isFile()
+    fs, at = file_system(spark, path)
+    return fs.getFileStatus(at).isFile()
