@@ -1,25 +1,32 @@
 """Deduplicating new batches against everything already accepted.
 
-A record is treated like a document: the hash of its normalised identity is its
-*content hash*, the hashes of the parts that survive editing (clock with amount and
-currency; for rows without a clock reference and party with those) are its
-*paragraph hashes*.  Hashes live in tables bucketed by hash, so finding full
-copies and shared paragraphs is a semi-join inside each bucket, without moving
-the history; afterwards the hashes of the new batch are appended.
+A record is treated like a document.  The hash of its identity is its *content hash*;
+the hash of clock with amount and currency (without a clock: reference and party with
+those) is the hash of its *paragraphs*, the parts that survive editing.  Hashes live in
+one table bucketed by hash.  A delivery is appended to it and then held against it
+bucket by bucket, so neither the history nor the delivery moves again; only of rows that
+share a hash the parts are read, and what covers what is decided on them exactly.
 """
 
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.session import cut, scratch_path, shuffle_width
+from tallyloom.session import cut, remove, scratch, scratch_path, shuffle_width
 
 MINUTE_US = 60_000_000
 #: A redelivered row may be re-booked by up to a day, and by less than an hour on top.
 SLOT_US = 25 * 60 * MINUTE_US
+#: Consecutive batches are admitted together until they hold so many rows.
+ROWS_PER_DELIVERY = 1_000_000
+#: Rows that share a hash are sought by a broadcast of their ids up to so many, else by a shuffle.
+BROADCAST_IDS = 1_000_000
+#: After so many deliveries the files of each bucket are written together again.
+COMPACT_EVERY = 16
 
 
 def fold(text: Column) -> Column:
@@ -27,18 +34,28 @@ def fold(text: Column) -> Column:
     return F.coalesce(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", ""), F.lit(""))
 
 
+def identity_code(identity: Column) -> Column:
+    """The digits of an identity, without prefix, grouping, zeros in front and resend suffix;
+    null without digits.
+
+    The suffix is what follows the first digits, letters being no grouping (``-R``,
+    ``_resend``), or one or two digits behind a dash or slash and at least six digits.
+    """
+    usual = identity.rlike(r"\A[A-Za-z]{0,4}[^A-Za-z0-9]?[0-9]{10}\z")
+    body = F.regexp_extract(F.regexp_replace(identity, r"(?<=[0-9]{6})[-/][0-9]{1,2}\z", ""), r"[0-9](?:[^A-Za-z0-9]*[0-9])*", 0)
+    digits = F.when(usual, F.right(identity, F.lit(10))).otherwise(F.regexp_replace(body, "[^0-9]", ""))
+    return F.nullif(F.ltrim(digits, F.lit("0")), F.lit(""))
+
+
 def record_parts(rows: DataFrame, text: str, within: str | None = None) -> DataFrame:
     """The comparable parts of delivered rows; texts are still as written.
 
-    ``code`` is the first ten digits of the identity (without prefix, grouping and
-    resend suffix), ``micros`` the booking time.  Rows are compared only if they
-    agree in the column ``within``, if one is named.
+    Rows are compared only if they agree in the column ``within``, if one is named.
     """
-    prepared = rows.where("row_id is not null").select(
+    return rows.where("row_id is not null").select(
         F.col("row_id").cast("long").alias("row_id"),
         (F.col(within).cast("string") if within else F.lit("")).alias("within"),
-        # The usual form is cut directly; others lose all but their digits.
-        F.when(F.col("id").rlike(r"\A[A-Za-z]{0,4}[^A-Za-z0-9]?[0-9]{10}\z"), F.right(F.col("id"), F.lit(10))).otherwise(F.regexp_replace("id", "[^0-9]", "")).alias("digits"),
+        identity_code(F.col("id")).alias("code"),
         F.unix_micros(F.col("booked_at").cast("timestamp")).alias("micros"),
         F.col("amount").cast("decimal(24,8)").alias("amount"),
         F.upper(F.trim("currency")).alias("currency"),
@@ -46,12 +63,6 @@ def record_parts(rows: DataFrame, text: str, within: str | None = None) -> DataF
         F.col("reference").alias("raw_ref"),
         F.col("counterparty").alias("raw_party"),
     )
-    return prepared.withColumn("code", F.when(F.length("digits") >= 8, F.substring("digits", 1, 10))).drop("digits")
-
-
-def _folded() -> dict[str, Column]:
-    """Texts folded whole for comparison."""
-    return {"text": fold(F.col("raw_text")), "ref": fold(F.col("raw_ref")), "party": fold(F.col("raw_party"))}
 
 
 def _clock() -> Column:
@@ -61,54 +72,60 @@ def _clock() -> Column:
 
 
 def hash_rows(parts: DataFrame) -> DataFrame:
-    """(h, row_id): the content hash and the paragraph hashes of each record."""
+    """(h, row_id): the content hash and the paragraph hash of each record."""
     value = [F.col("within"), F.col("amount"), F.col("currency")]
     # Without a clock reference and party stand in, folded for no other rows; the text may
     # have been cut short and is left to the exact check.
-    texts = _folded()
-    timed = F.when(F.col("micros").isNotNull(), F.xxhash64(F.lit("clock"), _clock(), *value)).otherwise(F.xxhash64(F.lit("plain"), texts["ref"], texts["party"], *value))
+    plain = F.xxhash64(F.lit("plain"), fold(F.col("raw_ref")), fold(F.col("raw_party")), *value)
+    timed = F.when(F.col("micros").isNotNull(), F.xxhash64(F.lit("clock"), _clock(), *value)).otherwise(plain)
     coded = F.when(F.col("code").isNotNull(), F.xxhash64(F.lit("code"), "within", "code"))
     return parts.select("row_id", F.explode(F.array_compact(F.array(coded, timed))).alias("h")).select("h", "row_id")
 
 
 class HashHistory:
-    """Hashes of all accepted records in one bucketed table of the shared folder."""
+    """The hashes of all accepted rows in a table bucketed by hash, and the links found
+    between those rows."""
 
     def __init__(self, spark: SparkSession, buckets: int | None = None) -> None:
         self.spark = spark
         self.buckets = buckets or shuffle_width(spark)
+        self.deliveries = 0
+        self.links: list[DataFrame] = []
+        self._fresh_table()
+
+    def _fresh_table(self) -> None:
         self.table = f"hash_history_{uuid.uuid4().hex[:12]}"
-        self.path = scratch_path(spark, self.table)
-
-    def append(self, hashes: DataFrame) -> None:
-        """Add (h, row_id) rows; each bucket gets one file an append."""
-        (
-            hashes.repartition(self.buckets, "h")
-            .write.format("parquet")
-            .mode("append")
-            .bucketBy(self.buckets, "h")
-            .option("path", self.path)
-            .saveAsTable(self.table)
-        )
+        self.path = scratch_path(self.spark, self.table, lasting=True)
+
+    def _append(self, rows: DataFrame) -> None:
+        rows.repartition(self.buckets, "h").write.format("parquet").mode("append").bucketBy(self.buckets, "h").option("path", self.path).saveAsTable(self.table)
+
+    def append(self, hashed: DataFrame) -> None:
+        """Add (h, row_id) rows; each bucket gets one file, and now and then its
+        files are written together."""
+        self.deliveries += 1
+        self._append(hashed.withColumn("delivery", F.lit(self.deliveries)))
+        if self.deliveries % COMPACT_EVERY == 0:
+            old, at = self.table, self.path
+            self._fresh_table()
+            self._append(self.spark.table(old))
+            self.spark.sql(f"drop table {old}")
+            remove(self.spark, at)
 
     def rows(self) -> DataFrame:
         return self.spark.table(self.table)
 
-    def known(self, hashes: DataFrame) -> DataFrame:
-        """(h, row_id, first_row_id) for the hashes that the history holds already.
-
-        Only the new hashes move, to the buckets of the history; its own rows are
-        read in place.
-        """
-        firsts = self.rows().groupBy("h").agg(F.min("row_id").alias("first_row_id"))
-        return hashes.join(firsts, "h")
-
-    def shared(self) -> DataFrame:
-        """(h) that more than one accepted record carries, found bucket by bucket."""
-        return self.rows().groupBy("h").agg(F.min("row_id").alias("lo"), F.max("row_id").alias("hi")).where("lo < hi").select("h")
+    def sharing(self) -> DataFrame:
+        """(row_id) of the rows, old and new, that share a hash with a row of the last
+        delivery: an aggregate and a semi-join inside each bucket."""
+        counted = self.rows().groupBy("h").agg(F.count("*").alias("n"), F.max("delivery").alias("last"))
+        shared = counted.where((F.col("n") > 1) & (F.col("last") == self.deliveries)).select("h")
+        return self.rows().join(shared.hint("shuffle_hash"), "h", "left_semi").select("row_id").distinct()
 
     def drop(self) -> None:
+        """Remove the hashes; links found so far stay."""
         self.spark.sql(f"drop table if exists {self.table}")
+        remove(self.spark, self.path)
 
 
 def _text_keys(asked: DataFrame) -> DataFrame:
@@ -132,100 +149,134 @@ def _evidence(parts: DataFrame) -> DataFrame:
     """(row_id, k1, k2): keys under which two rows deliver one record, as 128 bits.
 
     Same code with the same amount; or same clock, amount and currency in a common
-    time slot, with one of text, reference and counterparty agreeing; or, without a
+    time slot, covered by one of text, reference and counterparty; or, without a
     clock, everything agreeing.  Each row stands in its own slot and the next, so
     rows nearer than one slot always meet.  Texts agree if one begins the other, as
     redeliveries cut them short; without a clock only if there is a reference, or all
     digits stand in both, as one beginning may be of many payments.
     """
     # Amounts are hashed once; both halves of a key build on it.
-    parts = parts.select("*", F.xxhash64("within", "amount", "currency").alias("value"), F.xxhash64("currency", "amount", "within", F.lit(2)).alias("value2"), *[c.alias(n) for n, c in _folded().items()], _clock().alias("clock"), F.floor(F.col("micros") / F.lit(SLOT_US)).cast("long").alias("slot"))
-    parts = cut(parts.drop("raw_text", "raw_ref", "raw_party"), "parts")
+    folded = [fold(F.col(f"raw_{n}")).alias(n) for n in ("text", "ref", "party")]
+    value = [F.xxhash64("within", "amount", "currency").alias("value"), F.xxhash64("currency", "amount", "within", F.lit(2)).alias("value2")]
+    parts = parts.select("row_id", "code", *value, *folded, _clock().alias("clock"), F.floor(F.col("micros") / F.lit(SLOT_US)).cast("long").alias("slot"))
     word = lambda kind, *cs: F.struct(F.xxhash64(F.lit(kind), *cs, "value").alias("k1"), F.xxhash64("value2", *cs, F.lit(kind)).alias("k2"))
     timed = F.col("clock").isNotNull()
     bare = (F.col("text") == "") & (F.col("ref") == "") & (F.col("party") == "")
-    slots, texts = [], []
+    keys, texts = [], []
     for step in (0, 1):
         at = [F.col("clock"), F.col("slot") + step]
         for part in ("ref", "party"):
-            slots.append(F.when(timed & (F.col(part) != ""), word(part, *at, F.lit(part), F.col(part))))
-        slots.append(F.when(timed & bare, word("bare", *at)))
+            keys.append(F.when(timed & (F.col(part) != ""), word(part, *at, F.lit(part), F.col(part))))
+        keys.append(F.when(timed & bare, word("bare", *at)))
         texts.append(F.when(timed, word("text", *at)))
-    slots.append(F.when(F.col("code").isNotNull(), word("code", F.lit("code"), F.col("code"))))
-    slots.append(F.when(~timed, word("plain", F.lit("plain"), F.col("text"), F.col("ref"), F.col("party"))))
+    keys.append(F.when(F.col("code").isNotNull(), word("code", F.lit("code"), F.col("code"))))
+    keys.append(F.when(~timed, word("plain", F.lit("plain"), F.col("text"), F.col("ref"), F.col("party"))))
     digits = F.regexp_replace("text", r"\P{N}+", "")
     texts.append(F.when(~timed & (F.col("ref") != ""), word("plain-ref", F.col("ref"), F.col("party"))))
     texts.append(F.when(~timed & (F.col("ref") == "") & (digits != ""), word("plain-digits", digits, F.col("party"))))
-    keys = lambda columns: F.explode(F.array_compact(F.array(*columns))).alias("k")
-    asked = parts.where("text <> ''").select("row_id", keys(texts), "text").select("row_id", "k.k1", "k.k2", "text")
-    return parts.select("row_id", keys(slots)).select("row_id", "k.k1", "k.k2").unionByName(_text_keys(asked))
+    listed = lambda columns: F.explode(F.array_compact(F.array(*columns))).alias("k")
+    asked = cut(parts.where("text <> ''").select("row_id", listed(texts), "text").select("row_id", "k.k1", "k.k2", "text"), "texts")
+    return parts.select("row_id", listed(keys)).select("row_id", "k.k1", "k.k2").unionByName(_text_keys(asked))
+
+
+def linked_rows(parts: DataFrame) -> DataFrame:
+    """(row_id, first): each row and the smallest row under one of its keys.
+
+    Rows are folded per key before they move, so a key that a third of all rows share is
+    one aggregate, never a group.
+    """
+    evidence = cut(_evidence(parts), "keys")
+    shared = evidence.groupBy("k1", "k2").agg(F.min("row_id").alias("first"), F.max("row_id").alias("last")).where("first < last").drop("last")
+    return evidence.join(shared, ["k1", "k2"]).where("row_id > first").select("row_id", "first").distinct()
 
 
-def first_of_record(evidence: DataFrame) -> DataFrame:
-    """(row_id, first_row_id): for rows that share a key, the smallest row reachable.
+def first_of_record(links: DataFrame) -> DataFrame:
+    """(row_id, first): the smallest row reachable from each row over links (row_id, first)
+    with first < row_id.
 
-    Keys of a single row are dropped first.  Labels are folded per key before they
-    move, so a key that a third of all rows share is one aggregate, never a group;
-    rounds end when nothing changes.
+    Each round hangs the neighbours of a row on the smallest of them, and so doubles the
+    reach; rounds end when every row has one neighbour that has none below it.
     """
-    key = ["k1", "k2"]
-    evidence = cut(evidence, "keys")
-    shared = evidence.groupBy(*key).agg(F.min("row_id").alias("lo"), F.max("row_id").alias("hi")).where("lo < hi").drop("hi")
-    edges = cut(evidence.join(shared, key), "evidence")
-    labels = cut(edges.groupBy("row_id").agg(F.min("lo").alias("first")), "labels")
+    links = cut(links, "links")
     while True:
-        # Keys whose rows disagree; mostly few, so only their rows move again.
-        spread = edges.join(labels, "row_id").groupBy(*key).agg(F.min("first").alias("to"), F.max("first").alias("hi")).where("to < hi").drop("hi")
-        spread = cut(spread, "spread")
-        if spread.isEmpty():
-            return labels.select("row_id", F.col("first").alias("first_row_id"))
-        moved = edges.join(spread, key).groupBy("row_id").agg(F.min("to").alias("to"))
-        labels = cut(labels.join(moved, "row_id", "left").select("row_id", F.least("first", "to").alias("first")), "labels")
-
-
-def repeated_rows(rows: DataFrame, text: str, within: str | None = None) -> DataFrame:
-    """(first_row_id, repeat_row_id) for each row that repeats an accepted record.
-
-    ``rows`` needs row_id, id, booked_at, amount, currency, reference, counterparty
-    and the column named ``text``; other columns are ignored.  Rows with a null
-    ``row_id`` are left out.  Nulls in other columns never count as agreement, save that
-    rows without clock must agree in all folded parts (null and empty text being
-    one; a text cut short agrees under a reference, or if it kept all digits).  Rows delivered letter for letter again, in the same batch or later, are
-    repeats.  An empty table gives an empty result.  With ``within``, several tables
-    whose row ids differ are handled at once, each on its own.
-
-    Hashes of all rows go to a bucketed table; only records that share a hash
-    with another (a few per cent) are read again and verified exactly.
+        least = links.groupBy("row_id").agg(F.min("first").alias("least"))
+        below = least.select(F.col("row_id").alias("least"), F.col("least").alias("root"))
+        rooted = cut(least.join(below, "least", "left").select("row_id", "least", F.coalesce("root", "least").alias("root")), "rooted")
+        # Neighbours that are not the least one have to reach it too.
+        rest = links.join(rooted.select("row_id", "least", "root"), "row_id").where("first > least")
+        if rest.isEmpty() and rooted.where("root < least").isEmpty():
+            return rooted.select("row_id", F.col("least").alias("first"))
+        links = cut(rooted.select("row_id", F.col("root").alias("first")).unionByName(rest.select(F.col("first").alias("row_id"), F.col("root").alias("first"))).distinct(), "links")
+
+
+def admit_batch(history: HashHistory, accepted: DataFrame, batch: DataFrame, text: str, within: str | None = None) -> DataFrame:
+    """Append the hashes of a batch to the history and check it: (row_id, first) links between
+    its rows and with accepted ones.
+
+    ``accepted`` is the stored table of rows, as loaded, of earlier batches; the batch
+    may be in it already.  Only the batch is hashed and moved; the history is scanned in
+    place, bucket by bucket, and of the accepted rows those are taken that share a
+    hash.  The links also stay with the history: ``repeats`` follows chains of them
+    through all batches.
     """
-    spark = rows.sparkSession
-    rows = rows.select("row_id", "id", "booked_at", "amount", "currency", "reference", "counterparty", text, *([within] if within else []))
-    history = HashHistory(spark)
-    history.append(hash_rows(record_parts(rows, text, within)))
-    hot = history.rows().join(history.shared(), "h", "left_semi").select("row_id").distinct()
-    # Only the raw rows of suspects are folded for the exact comparison.
-    suspects = cut(record_parts(rows.join(hot, "row_id", "left_semi"), text, within), "suspects")
-    found = first_of_record(_evidence(suspects)).where("first_row_id < row_id")
-    history.drop()
-    return found.select("first_row_id", F.col("row_id").alias("repeat_row_id"))
+    with scratch(history.spark) as keep:
+        history.append(hash_rows(record_parts(batch, text, within)))
+        hot = cut(history.sharing(), "hot")
+        small = hot.count() <= BROADCAST_IDS
+        # Both are read apart and never made distinct: a row in both links to itself only.
+        both = accepted.unionByName(batch).join(F.broadcast(hot) if small else hot, "row_id", "left_semi")
+        found = keep(linked_rows(cut(record_parts(both, text, within), "suspects")), "links")
+    history.links.append(found)
+    return found
 
 
-def admit_batch(history: HashHistory, accepted: DataFrame, batch: DataFrame, text: str) -> DataFrame:
-    """Check one new batch, then append its hashes.
+def repeats(history: HashHistory) -> DataFrame:
+    """(first_row_id, repeat_row_id) over everything admitted so far.
 
-    ``accepted`` is the stored table of ``record_parts`` of earlier batches.  Returns
-    (first_row_id, repeat_row_id) for the rows of the batch that repeat an accepted
-    row or an earlier row of the batch.  Only the batch is hashed and moved; of the
-    accepted rows those that share a hash are read.
+    A row that ties two records together, each accepted as new before, makes them one.
     """
-    parts = cut(record_parts(batch, text), "batch")
-    hashes = cut(hash_rows(parts), "batch-hashes")
-    if history.spark.catalog.tableExists(history.table):
-        seen = history.rows().join(hashes.select("h").distinct(), "h", "left_semi").select("row_id").distinct()
-        old = accepted.join(seen, "row_id", "left_semi")
-        both = parts.unionByName(old)
-    else:
-        both = parts
-    found = first_of_record(_evidence(both)).where("first_row_id < row_id").join(parts.select("row_id"), "row_id", "left_semi")
-    found = cut(found, "batch-repeats")
-    history.append(hashes)
-    return found.select("first_row_id", F.col("row_id").alias("repeat_row_id"))
+    if not history.links:
+        return history.spark.createDataFrame([], "first_row_id long, repeat_row_id long")
+    with scratch(history.spark) as keep:
+        found = keep(first_of_record(reduce(DataFrame.unionByName, history.links)), "repeats")
+    return found.select(F.col("first").alias("first_row_id"), F.col("row_id").alias("repeat_row_id"))
+
+
+def deliveries(rows: DataFrame, batch: str, least: int = ROWS_PER_DELIVERY) -> list[tuple[int, int]]:
+    """(first, last) batch numbers of each delivery: consecutive batches with ``least`` rows
+    together.  Only the sizes of batches come to the driver, one number each."""
+    out, begin, held = [], None, 0
+    for number, n in rows.groupBy(batch).count().where(F.col(batch).isNotNull()).orderBy(batch).collect():
+        begin, held, last = number if begin is None else begin, held + n, number
+        if held >= least:
+            out.append((begin, last))
+            begin, held = None, 0
+    return [*out, (begin, last)] if begin is not None else out
+
+
+def repeated_rows(rows: DataFrame, text: str, within: str | None = None, batch: str | None = "batch_no", least: int = ROWS_PER_DELIVERY) -> DataFrame:
+    """(first_row_id, repeat_row_id) for each row that repeats an accepted record: the
+    batches are admitted one after the other.
+
+    ``rows`` needs row_id, id, booked_at, amount, currency, reference, counterparty,
+    the column named ``text`` and that named ``batch`` (null: everything is one batch);
+    other columns are ignored.  Rows with a null ``row_id`` are left out; rows
+    with a null batch come last, as one batch.  Nulls in other columns never count as
+    agreement, save that rows without clock must agree in all folded parts (null and
+    empty text being one; a text cut short agrees under a reference, or if it kept all
+    digits).  Rows delivered letter for letter again, in the same batch or later, are
+    repeats.  An empty table gives an empty result.  With ``within``, several tables whose
+    row ids differ are handled at once, each on its own.
+    """
+    history = HashHistory(rows.sparkSession)
+    rows = rows.select("row_id", "id", "booked_at", "amount", "currency", "reference", "counterparty", text, *([within] if within else []), *([batch] if batch else []))
+    spans = deliveries(rows, batch, least) if batch else []
+    steps = [(F.col(batch) < lo, F.col(batch).between(lo, hi)) for lo, hi in spans]
+    if batch and rows.where(F.col(batch).isNull()).limit(1).count():
+        steps.append((F.col(batch).isNotNull(), F.col(batch).isNull()))
+    if len(steps) < 2:  # one delivery holds everything
+        steps = [(F.lit(False), F.lit(True))]
+    for before, now in steps:
+        admit_batch(history, rows.where(before), rows.where(now), text, within)
+    history.drop()
+    return repeats(history)

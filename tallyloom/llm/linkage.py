@@ -1,7 +1,8 @@
 """Matching entities across sources without a key: label-model linkage.
 
-Candidates come from equality keys in two stages: equal references first, weaker keys
-for all records but those that stage settled beyond doubt.  On each candidate a set of matching
+Candidates come from equality keys in three stages: two records alone with their
+reference, party and amount; then equal references; then weaker keys for all records but
+those that a stage before settled beyond doubt.  On each candidate a set of matching
 functions votes (reference, amount, party, date, rarity), each with one of a few
 verdicts.  A generative model with a hidden "same payment" bit is fitted to the
 counts of the verdict patterns by expectation maximisation; it learns how often
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.llm.nearest import UNKNOWN_PARTIES
-from tallyloom.session import cut
+from tallyloom.session import cut, scratch
 
 #: A ledger row is dated from this many days before its bank row ...
 DAYS_BEFORE = 5
@@ -275,6 +276,14 @@ def _ref_verdict() -> Column:
     return F.when(F.col("a_ref1").isNull() | F.col("b_ref1").isNull(), 0).when(equal, 1).when(alike, 2).otherwise(3).cast("int")
 
 
+def _date_verdict(lag: Column) -> Column:
+    return F.when(lag.isNull(), 0).when(lag < -4, 1).when(lag < -2, 2).when(lag < 0, 3).when(lag == 0, 4).when(lag == 1, 5).otherwise(6).cast("int")
+
+
+#: Verdicts on dates that leave no doubt: none known, or not at an edge of the window.
+PLAIN_DATES = (0, 2, 3, 4, 5)
+
+
 def _compared(pairs: DataFrame, bank: DataFrame, ledger: DataFrame) -> DataFrame:
     """(a, b, lag, v_ref, v_amount, v_party, v_date) of pairs inside the window."""
     side = lambda df, p: df.select(F.col("id").alias(p), *[F.col(c).alias(f"{p}_{c}") for c in df.columns if c != "id"])
@@ -285,9 +294,8 @@ def _compared(pairs: DataFrame, bank: DataFrame, ledger: DataFrame) -> DataFrame
     amount = F.when(F.col("a_amk") == F.col("b_amk"), 0).when(gap <= 0.0501, 1).when(gap <= 0.02 * size, 2).when(gap <= 0.1 * size, 3).otherwise(4)
     named = F.coalesce(F.col("a_words").contains(F.col("b_words")), F.lit(False))
     party = F.when(F.col("a_party") == F.col("b_party"), 1).when(F.col("a_party").isNull() & named, 2).when(F.col("a_party").isNull() | F.col("b_party").isNull(), 0).otherwise(3)
-    date = F.when(lag.isNull(), 0).when(lag < -4, 1).when(lag < -2, 2).when(lag < 0, 3).when(lag == 0, 4).when(lag == 1, 5).otherwise(6)
     met = met.where(F.coalesce(lag.between(-DAYS_BEFORE, DAYS_AFTER), F.lit(True)))
-    return met.select("a", "b", "lag", _ref_verdict().alias("v_ref"), *[c.cast("int").alias(n) for n, c in (("v_amount", amount), ("v_party", party), ("v_date", date))])
+    return met.select("a", "b", "lag", _ref_verdict().alias("v_ref"), *[c.cast("int").alias(n) for n, c in (("v_amount", amount), ("v_party", party), ("v_date", _date_verdict(lag)))])
 
 
 def pattern_number() -> Column:
@@ -298,34 +306,54 @@ def pattern_number() -> Column:
     return number.cast("int")
 
 
+def sole_pairs(bank: DataFrame, ledger: DataFrame) -> DataFrame:
+    """Voted pairs (a, b, lag, v_ref, v_amount, v_party, v_date) of a bank and a ledger record that are
+    the only ones with their reference, party, currency and amount, at plain dates.
+
+    Nothing can rate higher than such a pair.  Records are folded per key before they move.
+    """
+    sides = []
+    for records, mine in ((bank, "a"), (ledger, "b")):
+        keyed = records.where("ref1 is not null and party is not null and amk is not null and ccy is not null")
+        cells = {n: F.col(c) if n[0] == mine else F.lit(None).cast("long") for n, c in (("a", "id"), ("b", "id"), ("a_day", "day"), ("b_day", "day"))}
+        sides.append(keyed.select(F.xxhash64("ref1", "ccy", "party").alias("h"), "amk", *[c.cast("long").alias(n) for n, c in cells.items()]))
+    met = sides[0].unionByName(sides[1]).groupBy("h", "amk").agg(F.count("a").alias("n_a"), F.count("b").alias("n_b"), *[F.min(c).alias(c) for c in ("a", "b", "a_day", "b_day")])
+    lag = (F.col("b_day") - F.col("a_day")).cast("int")
+    alone = met.where((F.col("n_a") == 1) & (F.col("n_b") == 1)).select("a", "b", lag.alias("lag"))
+    verdicts = {"v_ref": F.lit(1), "v_amount": F.lit(0), "v_party": F.lit(1), "v_date": _date_verdict(F.col("lag"))}
+    return alone.select("a", "b", "lag", *[c.cast("int").alias(n) for n, c in verdicts.items()]).where(F.col("v_date").isin(*PLAIN_DATES))
+
+
+def left_over(records: DataFrame, pairs: DataFrame, side: str, name: str) -> DataFrame:
+    """The records that stand in no pair."""
+    return cut(records.join(pairs.select(F.col(side).alias("id")), "id", "left_anti"), name)
+
+
 def strong_candidates(bank: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Voted candidates with an equal reference, and the number of their pattern."""
-    return cut(_compared(_meet(_reference_keys(bank), _reference_keys(ledger)), bank, ledger).withColumn("pattern", pattern_number()), "strong")
+    """Voted candidates with an equal reference, with the number of candidates of either record."""
+    met = _compared(_meet(_reference_keys(bank), _reference_keys(ledger)), bank, ledger)
+    return met.withColumn("n_b", F.count("*").over(Window.partitionBy("b"))).withColumn("n_a", F.count("*").over(Window.partitionBy("a")))
 
 
 def settling_patterns() -> set[int]:
     """The patterns that settle two records if neither has another equal reference: a
-    near amount, and no other party."""
+    near amount, no other party and plain dates."""
     sizes = tuple(VOTES.values())
-    return {int(np.ravel_multi_index((1, amount, party, date), sizes)) for amount in range(4) for party in range(3) for date in range(sizes[3])}
+    return {int(np.ravel_multi_index((1, amount, party, date), sizes)) for amount in range(4) for party in range(3) for date in PLAIN_DATES}
 
 
-def candidates(bank: DataFrame, ledger: DataFrame, strong: DataFrame, settling: set[int]) -> DataFrame:
-    """Voted candidates (a, b, lag, votes, single) of both stages; ``single`` if neither
-    record has another candidate.
+def candidates(bank: DataFrame, ledger: DataFrame, strong: DataFrame, settled: DataFrame) -> DataFrame:
+    """Voted candidates (a, b, lag, v_ref, pattern, single) of all stages; ``single`` if neither
+    record has another candidate.  ``bank`` and ``ledger`` are the records that ``settled``
+    leaves, ``strong`` the equal references among them.
 
-    Only two records that are each other's sole equal reference, under a pattern of
-    ``settling``, are not sought under weaker keys.  Weak keys never bring together two rows
+    Only two records that are each other's sole equal reference, under a settling pattern,
+    are not sought under weaker keys.  Weak keys never bring together two rows
     with quite different references, nor amounts further apart than a tenth: like payments
     of one party stay apart.
     """
-    rivals = strong.withColumn("n_a", F.count("*").over(Window.partitionBy("a"))).withColumn("n_b", F.count("*").over(Window.partitionBy("b")))
-    settled = cut(rivals.where((F.col("n_a") == 1) & (F.col("n_b") == 1) & F.col("pattern").isin(sorted(settling))).select("a", "b"), "settled")
-    bank_left = cut(bank.join(settled.select(F.col("a").alias("id")), "id", "left_anti"), "bank-left")
-    ledger_left = cut(ledger.join(settled.select(F.col("b").alias("id")), "id", "left_anti"), "ledger-left")
-    strong = strong.drop("pattern")
-    weak = _compared(_meet(_weak_keys(bank_left, True), _weak_keys(ledger_left, False)), bank_left, ledger_left)
-    # Equal references with the same party or amount are in the first stage already.
+    weak = _compared(_meet(_weak_keys(bank, True), _weak_keys(ledger, False)), bank, ledger)
+    # Equal references with the same party or amount are in the stage before already.
     both = strong.unionByName(weak.where("v_ref in (0, 2) and v_amount < 4 or v_ref = 1 and v_party <> 1 and v_amount <> 0"))
     # An equal amount says less if several candidates of the bank row have it.
     plain = ((F.col("v_amount") == 0) & (F.col("v_party") != 3)).cast("int")
@@ -334,7 +362,7 @@ def candidates(bank: DataFrame, ledger: DataFrame, strong: DataFrame, settling:
     amount = F.when((F.col("v_amount") == 0) & (F.col("rivals") > 1), F.lit(5)).otherwise(F.col("v_amount")).cast("int")
     single = (F.col("n_a") == 1) & (F.col("n_b") == 1)
     named = counted.select("a", "b", "lag", "v_ref", amount.alias("v_amount"), "v_party", "v_date", single.alias("single"))
-    return named.withColumn("pattern", pattern_number())
+    return named.unionByName(settled.withColumn("single", F.lit(True))).select("a", "b", "lag", "v_ref", pattern_number().alias("pattern"), "single")
 
 
 def fitted_patterns(voted: DataFrame) -> list[tuple[int, float]]:
@@ -364,10 +392,22 @@ def link_records(bank: DataFrame, ledger: DataFrame, least: float = LEAST_CONFID
     (posterior, then equal reference, nearer date, same place among equally rated rivals,
     smaller ids), and leaves the rest to the next round, until nothing is left.
     """
+    with scratch(bank.sparkSession) as keep:
+        return keep(_linked(bank, ledger, least), "linked")
+
+
+def _linked(bank: DataFrame, ledger: DataFrame, least: float) -> DataFrame:
     spark = bank.sparkSession
-    strong, settling = strong_candidates(bank, ledger), settling_patterns()
+    votes = ["a", "b", "lag", *VOTES]
+    sole = cut(sole_pairs(bank, ledger), "sole")
+    bank, ledger = left_over(bank, sole, "a", "bank-left"), left_over(ledger, sole, "b", "ledger-left")
+    strong = cut(strong_candidates(bank, ledger).withColumn("pattern", pattern_number()), "strong")
+    settling = settling_patterns()
     while True:
-        voted = cut(candidates(bank, ledger, strong, settling).select("a", "b", "lag", "v_ref", "pattern", "single"), "voted")
+        sure = (F.col("n_a") == 1) & (F.col("n_b") == 1) & F.col("pattern").isin(sorted(settling))
+        settled = strong.where(sure).select(*votes)
+        rest = [left_over(records, settled, side, name) for records, side, name in ((bank, "a", "bank-rest"), (ledger, "b", "ledger-rest"))]
+        voted = cut(candidates(*rest, strong.where(~sure).select(*votes), settled.unionByName(sole)), "voted")
         fitted = fitted_patterns(voted)
         # A pattern that is not trusted settles nothing: its records are sought on.
         doubted = settling & {pattern for pattern, confidence in fitted if confidence < least}

@@ -12,7 +12,7 @@ from tallyloom.llm.names import link_names, variant_pairs
 from tallyloom.llm.nearest import nearest_in_time, party_key
 from tallyloom.llm.pii import disclosure, personal_spans, sanitised, scan
 from tallyloom.llm.tokens import encode_corpus, token_counts
-from tallyloom.session import cut, read_table
+from tallyloom.session import cut, read_table, scratch
 
 
 def _typed_names(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,7 +30,7 @@ def p1_parties(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _delivered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of both tables under common names; their row ids differ."""
-    shared = ["row_id", "id", "booked_at", "amount", "currency", "reference", "counterparty"]
+    shared = ["row_id", "batch_no", "id", "booked_at", "amount", "currency", "reference", "counterparty"]
     a = read_table(spark, sf_dir, "source_a").select(*shared, F.col("description").alias("text"), F.lit("A").alias("side"))
     b = read_table(spark, sf_dir, "source_b").select(*shared, F.col("memo").alias("text"), F.lit("B").alias("side"))
     return a.unionByName(b)
@@ -45,12 +45,14 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _payments(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Linked records, and the repeats of either side."""
-    parties = cut(link_names(_typed_names(spark, sf_dir)).select("name", "party"), "parties")
-    again = cut(repeated_rows(_delivered(spark, sf_dir), "text", "side"), "repeats")
-    first = lambda records: cut(records.join(again.select(F.col("repeat_row_id").alias("id")), "id", "left_anti"), "records")
-    bank = first(bank_records(read_table(spark, sf_dir, "source_a"), parties))
-    ledger = first(ledger_records(read_table(spark, sf_dir, "source_b"), parties))
-    return link_records(bank, ledger), again
+    with scratch(spark) as keep:
+        parties = cut(link_names(_typed_names(spark, sf_dir)).select("name", "party"), "parties")
+        # All batches are at hand, so they are admitted as one.
+        again = keep(repeated_rows(_delivered(spark, sf_dir), "text", "side", batch=None), "repeats")
+        first = lambda records: cut(records.join(again.select(F.col("repeat_row_id").alias("id")), "id", "left_anti"), "records")
+        bank = first(bank_records(read_table(spark, sf_dir, "source_a"), parties))
+        ledger = first(ledger_records(read_table(spark, sf_dir, "source_b"), parties))
+        return keep(link_records(bank, ledger), "pairs"), again
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,10 @@
 import datetime as dt
 from decimal import Decimal
 
-from tallyloom.llm.history import HashHistory, admit_batch, record_parts, repeated_rows
-from tallyloom.session import cut
+from pyspark.sql import functions as F
+
+from tallyloom.llm import history as hs
+from tallyloom.llm.history import HashHistory, admit_batch, deliveries, identity_code, repeated_rows, repeats
 
 DDL = "row_id long, batch_no int, id string, booked_at timestamp, description string, reference string, counterparty string, amount decimal(24,8), currency string, clock string"
 T0 = dt.datetime(2005, 3, 1, 10, 20, 30, 123000)
@@ -43,16 +45,49 @@ def test_tables_at_once_stay_apart(spark):
     assert repeated_rows(both, "description").count() == 1
 
 
-def test_batches_equal_one_pass(spark):
-    df = spark.createDataFrame([(r[0], k // 4, *r[2:]) for k, r in enumerate(ROWS)], DDL)
-    history, accepted, found = HashHistory(spark, 4), None, set()
-    for n in range(3):
-        batch = df.where(f"batch_no = {n}")
-        found |= {tuple(r) for r in admit_batch(history, accepted, batch, "description").collect()}
-        parts = record_parts(batch, "description")
-        accepted = cut(parts if accepted is None else accepted.unionByName(parts), "accepted")
+def by_batches(spark, df):
+    """Admitted one by one against a history of four buckets."""
+    history = HashHistory(spark, 4)
+    for n in sorted(r.batch_no for r in df.select("batch_no").distinct().collect()):
+        admit_batch(history, df.where(f"batch_no < {n}"), df.where(f"batch_no = {n}"), "description")
     history.drop()
-    assert found == {tuple(r) for r in repeated_rows(df, "description").collect()}
+    return {tuple(r) for r in repeats(history).collect()}
+
+
+def test_batches_equal_one_pass(spark, monkeypatch):
+    monkeypatch.setattr(hs, "COMPACT_EVERY", 2)
+    df = spark.createDataFrame([(r[0], k // 3, *r[2:]) for k, r in enumerate(ROWS)], DDL)
+    whole = {tuple(r) for r in repeated_rows(df, "description", batch=None).collect()}
+    assert by_batches(spark, df) == whole
+    assert {tuple(r) for r in repeated_rows(df, "description", least=1).collect()} == whole
+    assert deliveries(df, "batch_no", 5) == [(0, 1), (2, 3)] and deliveries(df.limit(0), "batch_no") == []
+
+
+def test_chains_reach_the_first_row_through_batches(spark):
+    chain = [
+        row(1, "BST-1111111111", batch=1),
+        row(2, "BST-1111111111", at=T0 + dt.timedelta(seconds=7), batch=2),  # the same identity, another clock
+        row(3, "BST-3333333333", at=T0 + dt.timedelta(seconds=7), batch=3),  # another identity, that clock
+        # Two records that a third delivery ties together are one.
+        row(10, "BST-4444444444", at=T0 + dt.timedelta(seconds=11), ref="A", party=None, text=None, batch=1),
+        row(11, "BST-5555555555", at=T0 + dt.timedelta(seconds=13), ref="B", party=None, text=None, batch=2),
+        row(12, "BST-4444444444", at=T0 + dt.timedelta(seconds=13), ref="B", party=None, text=None, batch=3),
+    ]
+    df = spark.createDataFrame(chain, DDL)
+    assert by_batches(spark, df) == {(1, 2), (1, 3), (10, 11), (10, 12)}
+    assert {tuple(r) for r in repeated_rows(df, "description", batch=None).collect()} == {(1, 2), (1, 3), (10, 11), (10, 12)}
+
+
+def test_identity_codes(spark):
+    ids = ["BST-0234567890", "bst 02345 67890", "BST/0234.567.890", "Bst_234567890", "BST-0234567890-01", "BST-0234567890/2", "BST-0234567890-R", "BST-0234567890_resend", "BST-0234567890 DUP"]
+    df = spark.createDataFrame([(i,) for i in [*ids, "A-12345678901234", "A-12345678901235", "X-7", "none", "", None]], "id string")
+    got = [r.c for r in df.select(identity_code(F.col("id")).alias("c")).collect()]
+    assert got == ["234567890"] * len(ids) + ["12345678901234", "12345678901235", "7", None, None, None]
+
+
+def test_like_payments_minutes_apart(spark):
+    rows = [row(1, "X-1", text="PAYMENT ORDER steel works march", ref=None, party=None), row(2, "X-2", at=T0 + dt.timedelta(minutes=3), text="PAYMENT ORDER copper wire april", ref=None, party=None), row(3, "X-3", text="rent flat a", ref=None, party=None, amount="6"), row(4, "X-4", at=T0 + dt.timedelta(minutes=3), text="rent flat b", ref=None, party=None, amount="6")]
+    assert repeated_rows(spark.createDataFrame(rows, DDL), "description").count() == 0
 
 
 def test_a_record_on_a_third_of_rows(spark):
