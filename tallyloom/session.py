@@ -10,6 +10,7 @@ from contextlib import contextmanager
 from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -114,6 +115,12 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def broadcast_if(df: DataFrame, most: int) -> DataFrame:
+    """``df`` marked for a broadcast if it has at most ``most`` rows, else as it is, for the
+    engine to shuffle; it is counted, so it should stand in a table already."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def shuffle_width(spark: SparkSession) -> int:
     """The number of shuffle partitions the session is set to."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
