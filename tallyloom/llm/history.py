@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.session import cut, remove, scratch, scratch_path, shuffle_width
+from tallyloom.session import broadcast_if, cut, remove, scratch, scratch_path, shuffle_width
 
 MINUTE_US = 60_000_000
 #: A redelivered row may be re-booked by up to a day, and by less than an hour on top.
@@ -79,7 +79,7 @@ def hash_rows(parts: DataFrame) -> DataFrame:
     plain = F.xxhash64(F.lit("plain"), fold(F.col("raw_ref")), fold(F.col("raw_party")), *value)
     timed = F.when(F.col("micros").isNotNull(), F.xxhash64(F.lit("clock"), _clock(), *value)).otherwise(plain)
     coded = F.when(F.col("code").isNotNull(), F.xxhash64(F.lit("code"), "within", "code"))
-    return parts.select("row_id", F.explode(F.array_compact(F.array(coded, timed))).alias("h")).select("h", "row_id")
+    return parts.select("row_id", F.explode(F.array(coded, timed)).alias("h")).where("h is not null").select("h", "row_id")
 
 
 class HashHistory:
@@ -174,9 +174,9 @@ def _evidence(parts: DataFrame) -> DataFrame:
     digits = F.regexp_replace("text", r"\P{N}+", "")
     texts.append(F.when(~timed & (F.col("ref") != ""), word("plain-ref", F.col("ref"), F.col("party"))))
     texts.append(F.when(~timed & (F.col("ref") == "") & (digits != ""), word("plain-digits", digits, F.col("party"))))
-    listed = lambda columns: F.explode(F.array_compact(F.array(*columns))).alias("k")
-    asked = cut(parts.where("text <> ''").select("row_id", listed(texts), "text").select("row_id", "k.k1", "k.k2", "text"), "texts")
-    return parts.select("row_id", listed(keys)).select("row_id", "k.k1", "k.k2").unionByName(_text_keys(asked))
+    listed = lambda df, columns, *more: df.select("row_id", F.explode(F.array(*columns)).alias("k"), *more).where("k is not null").select("row_id", "k.k1", "k.k2", *more)
+    asked = cut(listed(parts.where("text <> ''"), texts, "text"), "texts")
+    return listed(parts, keys).unionByName(_text_keys(asked))
 
 
 def linked_rows(parts: DataFrame) -> DataFrame:
@@ -221,10 +221,9 @@ def admit_batch(history: HashHistory, accepted: DataFrame, batch: DataFrame, tex
     """
     with scratch(history.spark) as keep:
         history.append(hash_rows(record_parts(batch, text, within)))
-        hot = cut(history.sharing(), "hot")
-        small = hot.count() <= BROADCAST_IDS
+        hot = broadcast_if(cut(history.sharing(), "hot"), BROADCAST_IDS)
         # Both are read apart and never made distinct: a row in both links to itself only.
-        both = accepted.unionByName(batch).join(F.broadcast(hot) if small else hot, "row_id", "left_semi")
+        both = accepted.unionByName(batch).join(hot, "row_id", "left_semi")
         found = keep(linked_rows(cut(record_parts(both, text, within), "suspects")), "links")
     history.links.append(found)
     return found

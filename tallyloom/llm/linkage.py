@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.llm.nearest import UNKNOWN_PARTIES
-from tallyloom.session import cut, scratch
+from tallyloom.session import broadcast_if, cut, scratch
 
 #: A ledger row is dated from this many days before its bank row ...
 DAYS_BEFORE = 5
@@ -25,6 +25,8 @@ DAYS_BEFORE = 5
 DAYS_AFTER = 2
 SLOT_DAYS = DAYS_BEFORE + DAYS_AFTER
 LEAST_CONFIDENCE = 0.5
+#: Spellings of parties go to the records by a broadcast up to so many, else by a shuffle.
+BROADCAST_NAMES = 400_000
 
 
 # ---------------------------------------------------------------- label model
@@ -131,7 +133,8 @@ MARKED, PLAIN = "áàâäãåéèêëíìîïóòôöõøúùûüçñ", "aaaaaae
 
 
 def _records(rows: DataFrame, digits: list[Column], words: Column, parties: DataFrame) -> DataFrame:
-    """(id, day, ccy, am, amk, party, ref1, raw1, ref2, raw2, words); texts are reduced before
+    """(id, day, ccy, am, amk, party, ref1, raw1, ref2, raw2, words); ``parties`` has name,
+    party and stem.  Texts are reduced before
     the party is joined, so that no text moves.  ``am`` is the amount for distances,
     ``amk`` a hash of its exact value."""
     known = F.when(~F.col("counterparty").isin(*UNKNOWN_PARTIES), F.col("counterparty"))
@@ -145,7 +148,7 @@ def _records(rows: DataFrame, digits: list[Column], words: Column, parties: Data
         *[d.alias(f"raw{k}") for k, d in enumerate(digits, 1)],
         words.alias("words"),
     )
-    narrow = narrow.join(parties.select(F.col("name").alias("_name"), "party"), "_name", "left")
+    narrow = narrow.join(broadcast_if(parties.select(F.col("name").alias("_name"), "party", "stem"), BROADCAST_NAMES), "_name", "left").withColumn("words", F.coalesce("words", F.when(F.length("stem") >= 6, F.col("stem"))))
     return narrow.select("id", "day", "ccy", "am", "amk", "party", *[c for k in (1, 2) for c in (bare_number(F.col(f"raw{k}")).alias(f"ref{k}"), f"raw{k}")], "words")
 
 
@@ -163,11 +166,7 @@ def ledger_records(rows: DataFrame, parties: DataFrame) -> DataFrame:
     voucher = F.upper(F.substring("reference", 1, 3)) == "VCH"
     own = F.when(F.col("invoice").isNotNull(), reference_digits(F.col("invoice"))).when(~voucher, reference_digits(F.col("reference")))
     other = F.when(F.col("invoice").isNotNull() & F.col("reference").isNotNull() & ~voucher & (F.col("reference") != F.col("invoice")), reference_digits(F.col("reference")))
-    # The main name stands first or last.
-    name = F.translate(F.lower(F.trim("counterparty")), MARKED + ",", PLAIN)
-    first, last = F.substring_index(name, " ", 1), F.substring_index(name, " ", -1)
-    longer = F.when(F.length(first) >= F.length(last), first).otherwise(last)
-    return _records(rows, [own, other], F.when(F.length(longer) >= 6, longer), parties)
+    return _records(rows, [own, other], F.lit(None).cast("string"), parties)
 
 
 def _meet(bank: DataFrame, ledger: DataFrame) -> DataFrame:
@@ -187,8 +186,9 @@ def _hashed(kind: str, *parts: Column | str) -> Column:
 
 
 def _listed(records: DataFrame, *arrays: Column) -> DataFrame:
+    """(h, id) of all keys; lambdas over arrays are not compiled, so nulls fall away after."""
     none = F.array().cast("array<bigint>")
-    return records.select(F.explode(F.array_distinct(F.array_compact(F.concat(*[F.coalesce(x, none) for x in arrays])))).alias("h"), "id")
+    return records.select(F.explode(F.array_distinct(F.concat(*[F.coalesce(x, none) for x in arrays]))).alias("h"), "id").where("h is not null")
 
 
 def _reference_keys(records: DataFrame) -> DataFrame:
@@ -207,11 +207,10 @@ def _weak_keys(records: DataFrame, bank: bool) -> DataFrame:
     saying less.
     """
     slot = lambda shift: F.floor((F.col("day") + shift) / SLOT_DAYS).cast("long")
-    undated = F.array(F.lit(-1).cast("long"))
-    slots = F.when(F.col("day").isNull(), undated).otherwise(F.array_distinct(F.array(slot(-DAYS_BEFORE), slot(DAYS_AFTER))) if bank else F.array(slot(0)))
-    # Bands overlap: the bank row stands in two of them, so that a tenth more or less meets.
+    slots = [F.coalesce(slot(shift), F.lit(-1).cast("long")) for shift in ((-DAYS_BEFORE, DAYS_AFTER) if bank else (0,))]
+    # Bands overlap: the bank row stands in two more, so that a tenth more or less meets.
     level = F.log(F.greatest(F.abs("am"), F.lit(0.01))) / 0.12
-    bands = F.array(F.floor(level), F.floor(level + 1), F.floor(level - 1)) if bank else F.array(F.floor(level))
+    bands = [F.floor(level + step) for step in ((0, 1, -1) if bank else (0,))]
     sign = F.signum("am").cast("int")
 
     def variants(raw: str) -> Column:
@@ -225,12 +224,11 @@ def _weak_keys(records: DataFrame, bank: bool) -> DataFrame:
         return F.transform(named, lambda v: F.xxhash64(F.lit("typo"), v, "ccy", "party"))
 
     has_ref = F.col("ref1").isNotNull()
-    by_slot = lambda make: F.flatten(F.transform(slots, make))
-    refs = F.array("ref1", "ref2")
-    nameless = by_slot(lambda s: F.transform(refs, lambda r: _hashed("nameless", r, "ccy", s)))
-    amounts = lambda word: by_slot(lambda s: F.array(_hashed(word, "amk", "ccy", s)))
+    nameless = F.array(*[_hashed("nameless", r, "ccy", s) for s in slots for r in ("ref1", "ref2")])
+    amounts = lambda word: F.array(*[_hashed(word, "amk", "ccy", s) for s in slots])
     mine, theirs = ("bank-nameless", "ledger-nameless") if bank else ("ledger-nameless", "bank-nameless")
-    plain = lambda word: by_slot(lambda s: F.concat(F.array(_hashed(word, "amk", "ccy", "party", s)), F.transform(bands, lambda k: _hashed(word + "-band", k, sign, "ccy", "party", s))))
+    # An equal amount is in the same band too.
+    plain = lambda word: F.array(*[_hashed(word, k, sign, "ccy", "party", s) for s in slots for k in bands])
     asks, answers = ("bank-bare", "ledger-bare") if bank else ("ledger-bare", "bank-bare")
     return _listed(
         records,
