@@ -27,6 +27,8 @@ SLOT_DAYS = DAYS_BEFORE + DAYS_AFTER
 LEAST_CONFIDENCE = 0.5
 #: Spellings of parties go to the records by a broadcast up to so many, else by a shuffle.
 BROADCAST_NAMES = 400_000
+#: ... and so are repeats.
+BROADCAST_REPEATS = 400_000
 
 
 # ---------------------------------------------------------------- label model
@@ -391,10 +393,11 @@ def link_records(bank: DataFrame, ledger: DataFrame, least: float = LEAST_CONFID
     smaller ids), and leaves the rest to the next round, until nothing is left.
     """
     with scratch(bank.sparkSession) as keep:
-        return keep(_linked(bank, ledger, least), "linked")
+        return keep(linked_records(bank, ledger, least), "linked")
 
 
-def _linked(bank: DataFrame, ledger: DataFrame, least: float) -> DataFrame:
+def linked_records(bank: DataFrame, ledger: DataFrame, least: float = LEAST_CONFIDENCE) -> DataFrame:
+    """As ``link_records``; the result still reads tables of the ``scratch`` block around."""
     spark = bank.sparkSession
     votes = ["a", "b", "lag", *VOTES]
     sole = cut(sole_pairs(bank, ledger), "sole")
@@ -436,6 +439,7 @@ def _linked(bank: DataFrame, ledger: DataFrame, least: float) -> DataFrame:
 def with_repeats(pairs: DataFrame, repeats: DataFrame) -> DataFrame:
     """All pairs of rows: each record stands for its repeats (first_row_id, repeat_row_id
     of both tables, whose row ids differ)."""
+    repeats = broadcast_if(repeats, BROADCAST_REPEATS)
 
     def expand(df: DataFrame, key: str, repeats: DataFrame) -> DataFrame:
         again = df.join(repeats.withColumnRenamed("first_row_id", key), key).drop(key).withColumnRenamed("repeat_row_id", key)

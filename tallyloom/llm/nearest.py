@@ -1,20 +1,29 @@
 """Nearest record in time for the same entity, by tick expansion.
 
-Time is cut into coarse ticks as wide as the tolerance.  Right records are first
-folded to one row per entity and instant, then expanded to every tick from
-which they can be reached: whole into their own tick, and, as nothing but the
-nearest record of the entity-tick can win from outside, only its last record
-into the following tick and its first into the preceding one.  Left records join
-the ticks on equality of (entity, tick); inside a tick both sides are swept once
-in time order.
+Time is cut into ticks as wide as the tolerance.  Right records are expanded to every
+tick from which they can be reached: into their own tick, and to the ticks beside it,
+where only the nearest record of an entity-tick is kept on either side.  Left records
+then join the ticks on equality of (entity, tick).
+
+A tick in which one entity has many right records is cut into ``FINER`` ticks, these
+again where they are still full, and so on: finer ticks are expanded over the other
+ones of their coarse tick, again with the nearest kept on either side, and left records
+of full ticks go on to the finer ones.  So a left record meets one record before, one
+after, and at most ``PER_TICK`` in its own tick, however the records of an entity crowd.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.session import broadcast_if, cut, scratch
+
 UNKNOWN_PARTIES = ("UNKNOWN", "N/A", "?")
+#: Instants that a tick may hold before it is cut finer, and the finer ticks it is cut into.
+PER_TICK, FINER = 64, 32
+#: Full ticks are told by a broadcast up to so many, else by a shuffle.
+BROADCAST_TICKS = 400_000
 
 
 def party_key(name: Column) -> Column:
@@ -23,6 +32,34 @@ def party_key(name: Column) -> Column:
     return F.when(name.isNotNull() & ~name.isin(*UNKNOWN_PARTIES), folded)
 
 
+_NONE = "struct<t: bigint, id: bigint>"
+
+
+def _ticks(instants: DataFrame, full: DataFrame, coarse: tuple[int, int] | None) -> DataFrame:
+    """(e, up, k, before, after, inside): what left records of each tick meet.
+
+    ``coarse`` is (width of the coarse ticks ``up``, width of the ticks ``k``); without it
+    ticks stand at the top and are expanded to their two neighbours.
+    """
+    key, edge, none = ["e", "up", "k"], F.struct("t", "id"), F.lit(None).cast(_NONE)
+    ends = [F.min(edge).alias("first"), F.max(edge).alias("last")]
+    # Only ticks that are not full are gathered.
+    small = instants.join(full, key, "left_anti").groupBy(*key).agg(*ends, F.collect_list(edge).alias("inside"))
+    large = instants.join(full, key, "left_semi").groupBy(*key).agg(*ends).withColumn("inside", F.lit(None).cast(f"array<{_NONE}>"))
+    held = small.unionByName(large)
+    spread = lambda at, before, after, inside: F.struct(at.alias("k"), before.alias("before"), after.alias("after"), inside.alias("inside"))
+    nothing = F.lit(None).cast(f"array<{_NONE}>")
+    if coarse is None:
+        k = F.col("k")
+        beyond = F.array(spread(k - 1, none, F.col("first"), nothing), spread(k, none, none, F.col("inside")), spread(k + 1, F.col("last"), none, nothing))
+    else:
+        wide, fine = (F.lit(w) for w in coarse)
+        low, high = F.floor(F.col("up") * wide / fine).cast("long"), F.floor(((F.col("up") + 1) * wide - 1) / fine).cast("long")
+        beyond = F.transform(F.sequence(low, high), lambda k: spread(k, F.when(k > F.col("k"), F.col("last")), F.when(k < F.col("k"), F.col("first")), F.when(k == F.col("k"), F.col("inside"))))
+    reached = held.select("e", "up", F.explode(beyond).alias("x")).select("e", "up", "x.*")
+    return reached.groupBy(*key).agg(F.max("before").alias("before"), F.min("after").alias("after"), F.max("inside").alias("inside"))
+
+
 def nearest_in_time(
     left: DataFrame,
     right: DataFrame,
@@ -41,47 +78,46 @@ def nearest_in_time(
     the three named are ignored, so clashing names do no harm; an empty side gives
     an empty result.
 
-    Skew: the shuffle key is (entity, tick), so one entity with a third of all
-    rows spreads over as many tasks as the data have ticks; carried rows are two
-    per entity-tick however many records it holds.
+    Skew: everything is keyed by (entity, tick), ticks being as fine as an entity's
+    records are dense; a tick is one row on the side of the right records.
     """
     width = tolerance_s * 1_000_000
     micros = F.unix_micros(F.col(at).cast("timestamp"))
-    tick = lambda c: F.floor(c / F.lit(width)).cast("long")
+    tick = lambda w: F.floor((F.col("t") - F.pmod("t", F.lit(w))) / F.lit(w)).cast("long")
 
     def prepared(df: DataFrame, key: str) -> DataFrame:
         return df.select(F.col(entity).alias("e"), micros.alias("t"), F.col(key).cast("long").alias("id")).where("e is not null and t is not null and id is not null")
 
-    lefts = prepared(left, left_id).withColumn("k", tick(F.col("t")))
-    instants = prepared(right, right_id).withColumn("k", tick(F.col("t"))).groupBy("e", "k", "t").agg(F.min("id").alias("id"))
-
-    edge = F.struct("t", "id")
-    carried = (
-        instants.groupBy("e", "k")
-        .agg(F.min(edge).alias("first"), F.max(edge).alias("last"))
-        .select("e", F.explode(F.array(F.struct((F.col("k") + 1).alias("k"), F.col("last").alias("r")), F.struct((F.col("k") - 1).alias("k"), F.col("first").alias("r")))).alias("x"))
-        .select("e", "x.k", F.col("x.r.t").alias("t"), F.col("x.r.id").alias("rid"))
-    )
-    none = F.lit(None).cast("long")
-    rows = (
-        lefts.select("e", "k", "t", none.alias("rid"), F.col("id").alias("lid"))
-        .unionByName(instants.select("e", "k", "t", F.col("id").alias("rid"), none.alias("lid")))
-        .unionByName(carried.select("e", "k", "t", "rid", none.alias("lid")))
-    )
-    # Ties of time: a right row at the very instant counts as "before" and comes first.
-    ahead = Window.partitionBy("e", "k").orderBy(F.col("t"), F.col("rid").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
-    behind = Window.partitionBy("e", "k").orderBy(F.col("t").desc(), F.col("rid").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
-    record = F.when(F.col("rid").isNotNull(), F.struct("t", "rid"))
-    swept = rows.select(
-        "*", F.last(record, ignorenulls=True).over(ahead).alias("before"), F.last(record, ignorenulls=True).over(behind).alias("after")
-    ).where("lid is not null")
-    gap_before, gap_after = F.col("t") - F.col("before.t"), F.col("after.t") - F.col("t")
-    take_before = F.coalesce(gap_before <= gap_after, F.col("before").isNotNull())
-    return (
-        swept.select(
-            F.col("lid").alias("left_id"),
-            F.when(take_before, F.col("before.rid")).otherwise(F.col("after.rid")).alias("right_id"),
-            F.when(take_before, gap_before).otherwise(gap_after).alias("distance_us"),
+    top = F.lit(0).cast("long").alias("up")
+    none = F.lit(None).cast(_NONE)
+    lefts = prepared(left, left_id).select("e", top, tick(width).alias("k"), "t", "id", none.alias("b"), none.alias("a"))
+    instants = prepared(right, right_id).groupBy("e", "t").agg(F.min("id").alias("id")).select("e", top, tick(width).alias("k"), "t", "id")
+    with scratch(left.sparkSession) as keep:
+        instants, coarse, done = cut(instants, "instants"), None, []
+        while True:
+            full = broadcast_if(cut(instants.groupBy("e", "up", "k").count().where(F.col("count") > PER_TICK).drop("count"), "full"), BROADCAST_TICKS)
+            met = lefts.join(_ticks(instants, full, coarse), ["e", "up", "k"], "left")
+            known = lambda kind, own, carried, inside: kind(F.col(own), F.coalesce(F.col(carried), F.col(own)), F.coalesce(inside, F.col(own), F.col(carried)))
+            inside_b = F.array_max(F.filter("inside", lambda x: x["t"] <= F.col("t")))
+            inside_a = F.array_min(F.filter("inside", lambda x: x["t"] > F.col("t")))
+            met = met.select("e", "up", "k", "t", "id", known(F.greatest, "b", "before", inside_b).alias("b"), known(F.least, "a", "after", inside_a).alias("a"))
+            if full.isEmpty():
+                done.append(met)
+                break
+            met = cut(met, "met")
+            done.append(met.join(full, ["e", "up", "k"], "left_anti"))
+            coarse = (width, max(1, width // FINER))
+            width = coarse[1]
+            finer = lambda df, *more: df.join(full, ["e", "up", "k"], "left_semi").select("e", F.col("k").alias("up"), tick(width).alias("k"), "t", "id", *more)  # noqa: B023, E731
+            lefts, instants = finer(met, "b", "a"), cut(finer(instants), "instants")
+        swept = done[0]
+        for part in done[1:]:
+            swept = swept.unionByName(part)
+        gap_b, gap_a = F.col("t") - F.col("b.t"), F.col("a.t") - F.col("t")
+        take_b = F.coalesce(gap_b <= gap_a, F.col("b").isNotNull())
+        found = swept.select(
+            F.col("id").alias("left_id"),
+            F.when(take_b, F.col("b.id")).otherwise(F.col("a.id")).alias("right_id"),
+            F.when(take_b, gap_b).otherwise(gap_a).alias("distance_us"),
         )
-        .where(F.col("right_id").isNotNull() & (F.col("distance_us") <= width))
-    )
+        return keep(found.where(F.col("right_id").isNotNull() & (F.col("distance_us") <= tolerance_s * 1_000_000)), "nearest")

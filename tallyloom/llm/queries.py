@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.llm.history import repeated_rows
-from tallyloom.llm.linkage import bank_records, ledger_records, link_records, with_repeats
+from tallyloom.llm.linkage import bank_records, ledger_records, linked_records, with_repeats
 from tallyloom.llm.mixing import mix_report, mix_sources
 from tallyloom.llm.names import link_names, variant_pairs
 from tallyloom.llm.nearest import nearest_in_time, party_key
@@ -48,11 +48,11 @@ def _payments(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     with scratch(spark) as keep:
         parties = cut(link_names(_typed_names(spark, sf_dir)).select("name", "party", "stem"), "parties")
         # All batches are at hand, so they are admitted as one.
-        again = keep(repeated_rows(_delivered(spark, sf_dir), "text", "side", batch=None), "repeats")
+        again = keep(repeated_rows(_delivered(spark, sf_dir), "text", "side", batch=None), "again")
         first = lambda records: cut(records.join(again.select(F.col("repeat_row_id").alias("id")), "id", "left_anti"), "records")
         bank = first(bank_records(read_table(spark, sf_dir, "source_a"), parties))
         ledger = first(ledger_records(read_table(spark, sf_dir, "source_b"), parties))
-        return keep(link_records(bank, ledger), "pairs"), again
+        return keep(linked_records(bank, ledger), "pairs"), again
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 import datetime as dt
 import random
 
+from tallyloom.llm import nearest as nr
 from tallyloom.llm.nearest import nearest_in_time, party_key
 from pyspark.sql import functions as F
 
@@ -30,6 +31,16 @@ def test_equals_brute_force(spark):
         assert run(spark, left, right, seconds) == brute(left, right, dt.timedelta(seconds=seconds))
 
 
+def test_crowded_ticks_are_cut_finer(spark, monkeypatch):
+    random.seed(5)
+    monkeypatch.setattr(nr, "PER_TICK", 3)
+    monkeypatch.setattr(nr, "FINER", 4)
+    spot = lambda: T0 + dt.timedelta(seconds=random.choice([0, 0, 43_200, 86_400]), microseconds=random.choice([0, 1, 7, 50, 999, 10**6, random.randint(0, 4 * 10**10)]))
+    make = lambda n: [(k, spot(), random.choice(["a", "a", "a", "b", "c"]), "x") for k in range(n)]
+    left, right = make(150), make(150)
+    assert run(spark, left, right) == brute(left, right, dt.timedelta(hours=12))
+
+
 def test_ties_edges_and_empty(spark):
     h = dt.timedelta(hours=12)
     left = [(1, T0, "a", None), (1, T0, "a", None)]
