@@ -1,5 +1,8 @@
 import pytest
 
+from pyspark.sql import functions as F
+
+from tallyloom.llm import mixing as mx
 from tallyloom.llm.mixing import mix_report, mix_sources, token_budgets
 
 
@@ -45,3 +48,19 @@ def test_weights_matter_and_empty(spark):
     assert even > 0.75 * picked.count() and 390 <= picked.count() <= 400
     assert mix_sources(sized.limit(0), goals(spark, [("a", 1.0, 1)])).count() == 0
     assert mix_sources(sized, goals(spark, [])).count() == 0
+
+
+def test_the_end_is_small_for_every_weight(spark, monkeypatch):
+    monkeypatch.setattr(mx, "DOCS_PER_BIN", 20)
+    monkeypatch.setattr(mx, "BINS", 8)
+    sized = docs(spark, [("a", 4000, 10)]).withColumn("weight", F.lit(0.25))
+    keyed = sized.selectExpr("doc_id", "source", "n_tokens", "-ln((pmod(xxhash64(doc_id), 100000) + 0.5) / 100000) / weight as key")
+    for rest in (0, 5, 12_345, 39_990, 39_999):
+        lo, hi, before = mx._budget_ends(keyed, {"a": rest})["a"]
+        inside, below = keyed.where(f"key >= {lo!r} and key < {hi!r}").count(), keyed.where(f"key < {lo!r}").count()
+        assert 1 <= inside <= 20 and before == below * 10 and before <= rest < (below + inside) * 10 + 1
+    for tokens in (12_345, 39_999):
+        mixed = mix_sources(sized, goals(spark, [("a", 1.0, 1)]), total_tokens=tokens)
+        assert mixed.count() == tokens // 10
+    with pytest.raises(ValueError):
+        mix_sources(sized, goals(spark, [("a", 0.5, 1), ("a", 0.5, 1)]))
