@@ -4,19 +4,22 @@ Addresses, numbers and streets are recognised by their form.  Names are not: a
 capitalised pair of words is a name only if the corpus says so.  Every candidate
 word is counted in name position over all documents, with and without a protected
 entity beside it (an address or number in the same line, a title, an author block);
-a word whose company discloses a person more strongly than the threshold, and which
+a word that leaves too few bits of doubt about a protected entity beside it, and which
 goes with many different family names, acts as a given name.  Spans that disclose
-are replaced by typed placeholders.
+are generalised to typed placeholders.
+
+Texts are read once and never move: one pass writes what it found beside each document,
+and where the words that disclose fit into a set, the second pass resolves (and masks)
+row by row.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,8 +28,11 @@ from tallyloom.session import cut
 
 # Words before a name that are no part of it.
 TITLES = {"frau", "herr", "mr", "mrs", "ms", "mme", "mlle", "dr", "prof", "sr", "sra", "fam", "miss", "madame", "monsieur"}
-#: Share of a word's name positions that must stand beside a protected entity.
-LEAST_COMPANY = 0.15
+#: Bits of surprise at a protected entity beside a word in name position, -log2 P(entity | word),
+#: up to which the word discloses one.
+MOST_SURPRISE = 2.75
+#: Given names are sent to the tasks as a set up to so many, else joined as a table.
+BROADCAST_NAMES = 200_000
 #: Different family names a given name must go with.
 LEAST_PARTNERS = 3
 #: ... and, as it is met more often, this share of its positions, up to MANY_PARTNERS.
@@ -302,121 +308,174 @@ def names_in(chunk: str, given: set[str], company: bool) -> list[tuple[int, int]
 
 #: Characters of text whose findings are handed on at a time.
 GROUP_CHARS = 500_000
-_SCAN = pa.schema([("doc_id", pa.int64()), ("kind", pa.string()), ("span", pa.string()), ("lo", pa.int32()), ("hi", pa.int32()), ("company", pa.bool_()), ("term", pa.string())])
+_TYPED = pa.struct([("kind", pa.string()), ("lo", pa.int32()), ("hi", pa.int32()), ("span", pa.string())])
+_CHUNKS = pa.struct([("lo", pa.int32()), ("chunk", pa.string()), ("company", pa.bool_()), ("terms", pa.list_(pa.string())), ("partners", pa.list_(pa.string()))])
+_SCAN = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("typed", pa.list_(_TYPED)), ("chunks", pa.list_(_CHUNKS))])
+_SCAN_DDL = "doc_id long, text string, typed array<struct<kind: string, lo: int, hi: int, span: string>>, chunks array<struct<lo: int, chunk: string, company: boolean, terms: array<string>, partners: array<string>>>"
 
 
-def _findings(key: int, text: str) -> Iterator[tuple]:
+def _found(text: str) -> tuple[list[dict], list[dict]]:
+    """Typed spans, and name candidates with the words in name position (a null partner: only
+    after a comma)."""
     typed = typed_spans(text)
-    for a, b, kind, _ in typed:
-        yield key, kind, text[a:b], a, b, False, None
+    chunks = []
     for at, chunk, company in name_chunks(text, typed):
-        yield key, "?", chunk, at, at + len(chunk), company, None
-        for t, partner in name_positions(chunk):
-            yield key, "=" if partner is None else "+", partner, at, at, company, t
-
-
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rows: list[tuple] = []
-    size = 0
-    pack = lambda: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _SCAN, strict=True)], schema=_SCAN)
-    for batch in batches:
-        for key, text in zip(batch.column(0), batch.column(1), strict=True):
-            text = text.as_py()
-            rows.extend(_findings(key.as_py(), text))
-            size += len(text)
-            if size >= GROUP_CHARS and rows:
-                yield pack()
-                rows, size = [], 0
-    if rows:
-        yield pack()
+        positions = name_positions(chunk)
+        if positions or company:
+            chunks.append({"lo": at, "chunk": chunk, "company": company, "terms": [t for t, _ in positions], "partners": [p for _, p in positions]})
+    return [{"kind": kind, "lo": a, "hi": b, "span": text[a:b]} for a, b, kind, _ in typed], chunks
+
+
+def _scanner(with_text: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        size = 0
+        pack = lambda: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _SCAN, strict=True)], schema=_SCAN)
+        for batch in batches:
+            for key, text in zip(batch.column(0), batch.column(1), strict=True):
+                text = text.as_py()
+                rows.append((key.as_py(), text if with_text else None, *(_found(text) if text else ([], []))))
+                size += len(text or "")
+                if size >= GROUP_CHARS:
+                    yield pack()
+                    rows, size = [], 0
+        if rows:
+            yield pack()
+
+    return run
+
+
+def scan(documents: DataFrame, with_text: bool = False) -> DataFrame:
+    """(doc_id, text, typed, chunks): one pass over the whole texts.
+
+    Without ``with_text`` documents of null id, null or empty text are left out, and the
+    text is not handed on.
+    """
+    texts = documents if with_text else documents.where("doc_id is not null and text is not null and text <> ''")
+    return texts.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_scanner(with_text), _SCAN_DDL)
 
 
-def scan(documents: DataFrame) -> DataFrame:
-    """One pass over the whole texts: typed spans, name candidates (kind ``?``) and the
-    terms in them, in name position (kind ``+``, the partner as span) or after a comma
-    (kind ``=``)."""
-    texts = documents.where("doc_id is not null and text is not null and text <> ''").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return texts.mapInArrow(_scan, "doc_id long, kind string, span string, lo int, hi int, company boolean, term string")
+def _positions(scanned: DataFrame) -> DataFrame:
+    """(term, partner, company) of each word before another, where a given name would stand."""
+    chunks = scanned.where("doc_id is not null").select(F.explode("chunks").alias("c"))
+    return chunks.select(F.explode(F.arrays_zip("c.terms", "c.partners")).alias("p"), F.col("c.company").cast("long").alias("company")).select(F.col("p.terms").alias("term"), F.col("p.partners").alias("partner"), "company").where("partner is not null")
 
 
 def disclosure(scanned: DataFrame) -> DataFrame:
-    """(term, positions, company, partners, bits): what each candidate word reveals.
+    """(term, positions, company, partners, bits, surprise): what each candidate word reveals.
 
     ``bits`` is the pointwise mutual information, over all documents, of the word in
-    name position and a protected entity beside it.  Counts are folded before they
-    move, so a name on a third of all pages is one row a task.
+    name position and a protected entity beside it; ``surprise`` the bits that are left of
+    doubt about such an entity, null where there never was one.  Counts are folded before
+    they move, so a name on a third of all pages is one row a task.
     """
-    positions = scanned.where("kind = '+'").select("term", F.col("span").alias("partner"), F.col("company").cast("long").alias("company"))
-    pairs = positions.groupBy("term", "partner").agg(F.count("*").alias("positions"), F.sum("company").alias("company"))
+    pairs = _positions(scanned).groupBy("term", "partner").agg(F.count("*").alias("positions"), F.sum("company").alias("company"))
     per_term = pairs.groupBy("term").agg(F.sum("positions").alias("positions"), F.sum("company").alias("company"), F.count("*").alias("partners"))
     base = per_term.agg((F.sum("company") / F.sum("positions")).alias("base"))
-    return per_term.crossJoin(F.broadcast(base)).select("term", "positions", "company", "partners", F.log2((F.col("company") / F.col("positions")) / F.col("base")).alias("bits"))  # one row
+    share = F.nullif(F.col("company") / F.col("positions"), F.lit(0.0))
+    return per_term.crossJoin(F.broadcast(base)).select("term", "positions", "company", "partners", F.log2(share / F.nullif("base", F.lit(0.0))).alias("bits"), (-F.log2(share)).alias("surprise"))  # one row
 
 
-def given_names(scanned: DataFrame, least_company: float, least_partners: int) -> DataFrame:
+def given_names(scanned: DataFrame, most_surprise: float, least_partners: int) -> DataFrame:
     """(term): the words that disclose a person.
 
     A word mostly followed by other such words (a verb or a title before full names)
     is none itself.
     """
     enough = F.greatest(F.lit(least_partners), F.least(PARTNER_SHARE * F.col("positions"), F.lit(MANY_PARTNERS)))
-    first = cut(disclosure(scanned).where((F.col("company") >= least_company * F.col("positions")) & (F.col("partners") >= enough)).select("term", "positions"), "pii-terms")
-    before = scanned.where("kind = '+'").select("term", F.col("span").alias("partner")).groupBy("term", "partner").count()
+    first = cut(disclosure(scanned).where((F.col("surprise") <= most_surprise) & (F.col("partners") >= enough)).select("term", "positions"), "pii-terms")
+    before = _positions(scanned).groupBy("term", "partner").count()
     leading = before.join(first.select(F.col("term").alias("partner")), "partner").groupBy("term").agg(F.sum("count").alias("leads"))
     return first.join(leading, "term", "left").where("coalesce(leads, 0) < 0.5 * positions").select("term")
 
 
-def _resolve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        rows = []
-        for key, chunk, lo, company, given in zip(pdf["doc_id"], pdf["span"], pdf["lo"], pdf["company"], pdf["given"], strict=True):
-            known = set(given) if given is not None else set()
-            rows.extend((key, "person", chunk[a:b], lo + a, lo + b) for a, b in names_in(chunk, known, bool(company)))
-        yield pd.DataFrame(rows, columns=["doc_id", "pii_type", "pii_text", "lo", "hi"]).astype({"doc_id": "int64", "lo": "int64", "hi": "int64"})
+_SPANS_DDL = "doc_id long, pii_type string, pii_text string, lo long, hi long"
+
+
+def _persons(chunks: list[dict] | None, given: frozenset[str]) -> Iterator[tuple[str, int, int]]:
+    for c in chunks or ():
+        known = given.intersection(c["terms"])
+        if known or c["company"]:
+            for a, b in names_in(c["chunk"], known, c["company"]):
+                yield c["chunk"][a:b], c["lo"] + a, c["lo"] + b
+
+
+def _spans_of(row: dict, given: frozenset[str]) -> list[tuple[str, str, int, int]]:
+    """(type, text, lo, hi) of all personal data of a scanned document."""
+    typed = [(t["kind"], t["span"], t["lo"], t["hi"]) for t in row["typed"] or ()]
+    return typed + [("person", *p) for p in _persons(row["chunks"], given)]
+
+
+def _with_given(scanned: DataFrame, most_surprise: float, least_partners: int) -> tuple[DataFrame, Callable[[dict], frozenset[str]], list[str]]:
+    """The scanned rows, how to tell the given names of one, and the columns for it.
+
+    A set of a counted size goes to all tasks; a larger table is joined to the words of the
+    documents, which then carry their given names as a column.
+    """
+    terms = cut(given_names(scanned, most_surprise, least_partners), "pii-given")
+    if terms.count() <= BROADCAST_NAMES:
+        shared = scanned.sparkSession.sparkContext.broadcast(frozenset(r["term"] for r in terms.collect()))
+        return scanned, lambda row: shared.value, []
+    words = scanned.select("doc_id", F.explode("chunks.terms").alias("t")).select("doc_id", F.explode("t").alias("term")).distinct()
+    known = words.join(terms, "term").groupBy("doc_id").agg(F.collect_list("term").alias("given"))  # of one document
+    return scanned.join(known, "doc_id", "left"), lambda row: frozenset(row["given"] or ()), ["given"]
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
+    """A few documents at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 64):
+            yield batch.slice(at, 64).to_pylist()
+
+
+def _batched(out: list, schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True) if out else [()] * len(schema), schema, strict=True)], schema=schema)
 
 
-def personal_spans(documents: DataFrame, least_company: float = LEAST_COMPANY, least_partners: int = LEAST_PARTNERS) -> DataFrame:
+def personal_spans(documents: DataFrame, most_surprise: float = MOST_SURPRISE, least_partners: int = LEAST_PARTNERS) -> DataFrame:
     """(doc_id, pii_type, pii_text, lo, hi): all personal data with their offsets.
 
     Types are email, phone, id_number, street and person.  Documents with a null id,
     null or empty text have none.  Offsets count code points.  Whole texts are read,
     comments and disabled parts too; names inside bibliographies are left out.  The
-    words that act as given names come from counts over all documents and are joined
-    to the candidates as a table.
+    words that act as given names come from counts over all documents.
     """
-    scanned = cut(scan(documents), "pii-scan")
-    terms = given_names(scanned, least_company, least_partners)
-    chunks = scanned.where("kind = '?'")
-    words = scanned.where("kind in ('+', '=')").select("doc_id", "lo", "term")
-    shapes = words.join(terms, "term").groupBy("doc_id", "lo").agg(F.collect_set("term").alias("given"))
-    resolved = chunks.join(shapes, ["doc_id", "lo"], "left").where(F.col("given").isNotNull() | F.col("company"))
-    persons = resolved.select("doc_id", "span", "lo", "company", "given").mapInPandas(_resolve, "doc_id long, pii_type string, pii_text string, lo long, hi long")
-    typed = scanned.where("kind not in ('?', '+', '=')").select("doc_id", F.col("kind").alias("pii_type"), F.col("span").alias("pii_text"), "lo", "hi")
-    return typed.unionByName(persons)
+    scanned, given, more = _with_given(cut(scan(documents), "pii-scan"), most_surprise, least_partners)
+    schema = pa.schema([("doc_id", pa.int64()), ("pii_type", pa.string()), ("pii_text", pa.string()), ("lo", pa.int64()), ("hi", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _slices(batches):
+            yield _batched([(row["doc_id"], *s) for row in rows for s in _spans_of(row, given(row))], schema)
+
+    return scanned.select("doc_id", "typed", "chunks", *more).mapInArrow(run, _SPANS_DDL)
 
 
 #: What stands in place of each type.
 PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID]", "street": "[STREET]", "person": "[PERSON]"}
 
 
-def _mask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        done = []
-        for text, spans in zip(pdf["text"], pdf["spans"], strict=True):
-            if text is None or spans is None or not len(spans):
-                done.append(text)
-                continue
-            out, at = [], 0
-            for s in sorted(spans, key=lambda s: (s["lo"], -s["hi"])):
-                if s["lo"] >= at:
-                    out += [text[at : s["lo"]], PLACEHOLDERS[s["pii_type"]]]
-                    at = s["hi"]
-            done.append("".join(out) + text[at:])
-        yield pd.DataFrame({"doc_id": pdf["doc_id"], "text": done})
-
-
-def sanitised(documents: DataFrame, spans: DataFrame) -> DataFrame:
-    """(doc_id, text) with a typed placeholder in each place; other text unchanged."""
-    per_doc = spans.groupBy("doc_id").agg(F.collect_set(F.struct("lo", "hi", "pii_type")).alias("spans"))
-    joined = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(per_doc, "doc_id", "left")
-    return joined.mapInPandas(_mask, "doc_id long, text string")
+def masked(text: str, spans: list[tuple[str, str, int, int]]) -> str:
+    """The text with a placeholder for each span; of overlapping ones the first and longest."""
+    out, at = [], 0
+    for kind, _, lo, hi in sorted(spans, key=lambda s: (s[2], -s[3])):
+        if lo >= at:
+            out += [text[at:lo], PLACEHOLDERS[kind]]
+            at = hi
+    return "".join(out) + text[at:]
+
+
+def sanitised(documents: DataFrame, most_surprise: float = MOST_SURPRISE, least_partners: int = LEAST_PARTNERS) -> DataFrame:
+    """(doc_id, text) with a typed placeholder in each place; other text unchanged, null and
+    empty texts too.
+
+    The first pass hands each text on beside what it found in it, so the second one masks
+    where the text lies.
+    """
+    scanned, given, more = _with_given(cut(scan(documents, True), "pii-scan"), most_surprise, least_partners)
+    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _slices(batches):
+            yield _batched([(row["doc_id"], row["text"] and masked(row["text"], _spans_of(row, given(row)))) for row in rows], schema)
+
+    return scanned.select("doc_id", "text", "typed", "chunks", *more).mapInArrow(run, "doc_id long, text string")

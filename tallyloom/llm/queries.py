@@ -97,13 +97,12 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = read_table(spark, sf_dir, "documents")
-    return sanitised(documents, personal_spans(documents))
+    return sanitised(read_table(spark, sf_dir, "documents"))
 
 
 def p9_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     terms = disclosure(cut(scan(read_table(spark, sf_dir, "documents")), "pii-scan"))
-    return terms.withColumn("bits", F.round("bits", 6))
+    return terms.withColumns({c: F.round(c, 6) for c in ("bits", "surprise")})
 
 
 def queries() -> dict:

@@ -1,3 +1,4 @@
+from tallyloom.llm import pii
 from tallyloom.llm.pii import name_chunks, names_in, personal_spans, sanitised, term, typed_spans
 
 GIVEN = {"robert", "bjorn", "mei", "rene"}
@@ -34,7 +35,7 @@ def test_persons():
     assert term(r"S{\o}ren") == "soren" and term("RenÃ©") == "rene"
 
 
-def test_whole_pass(spark):
+def test_whole_pass(spark, monkeypatch):
     surnames = ["Bakovel", "Demarin", "Fosteli", "Gurvano", "Hamokri", "Jelvoda", "Kuporna", "Lastevi", "Monkari", "Nervola", "Osteman", "Pelkuna"]
     rows = [(k, f"\\author{{Tomasz {s}\\thanks{{t{k}@x.example}}}}\nThe Satz von {s} holds. Zorn Tomasz fails. {'x ' * 2000}", "c") for k, s in enumerate(surnames)]
     rows += [(50, "% Tomasz Vokmer, phone +1 (202) 555-0194", "c"), (51, None, None), (52, "", ""), (None, "a@b.org", ""), (53, "nothing here", "c")]
@@ -44,6 +45,10 @@ def test_whole_pass(spark):
     assert {(k, "person", f"Tomasz {s}") for k, s in enumerate(surnames)} <= got
     assert (50, "person", "Tomasz Vokmer") in got and (50, "phone", "+1 (202) 555-0194") in got
     assert not [g for g in got if g[0] in (51, 52, 53, None)]
-    clean = {r.doc_id: r.text for r in sanitised(df, spans).collect()}
-    assert clean[50] == "% [PERSON], phone [PHONE]" and clean[51] is None and clean[53] == "nothing here"
-    assert personal_spans(df.limit(0)).count() == 0
+    clean = {r.doc_id: r.text for r in sanitised(df).collect()}
+    assert clean[52] == "" and clean[None] == "[EMAIL]" and clean[50] == "% [PERSON], phone [PHONE]" and clean[51] is None and clean[53] == "nothing here"
+    assert personal_spans(df.limit(0)).count() == 0 and sanitised(df.limit(0)).count() == 0
+    # A vocabulary too large for a set is joined; the result is the same.
+    monkeypatch.setattr(pii, "BROADCAST_NAMES", 0)
+    assert {(r.doc_id, r.pii_type, r.pii_text) for r in personal_spans(df).collect()} == got
+    assert {r.doc_id: r.text for r in sanitised(df).collect()} == clean
