@@ -46,7 +46,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _payments(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Linked records, and the repeats of either side."""
     with scratch(spark) as keep:
-        parties = cut(link_names(_typed_names(spark, sf_dir)).select("name", "party", "stem"), "parties")
+        parties = cut(link_names(_typed_names(spark, sf_dir), learn=False).select("name", "party", "stem"), "parties")
         # All batches are at hand, so they are admitted as one.
         again = keep(repeated_rows(_delivered(spark, sf_dir), "text", "side", batch=None), "again")
         first = lambda records: cut(records.join(again.select(F.col("repeat_row_id").alias("id")), "id", "left_anti"), "records")
