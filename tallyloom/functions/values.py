@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tallyloom.functions.formats import parsed_amount
+from tallyloom.functions.formats import safe_date as parsed_date
+
+__all__ = ["parsed_amount", "parsed_date"]
+
 # Currencies whose minor unit is not a hundredth.
 MINOR_DIGITS = {"BHD": 3, "BIF": 0, "CLP": 0, "DJF": 0, "GNF": 0, "IQD": 3, "ISK": 0, "JOD": 3, "JPY": 0, "KMF": 0, "KRW": 0, "KWD": 3, "LYD": 3, "OMR": 3, "PYG": 0, "RWF": 0, "TND": 3, "UGX": 0, "VND": 0, "VUV": 0, "XAF": 0, "XOF": 0, "XPF": 0}
 # Words of a direction column.
 DEBIT_WORDS, CREDIT_WORDS = ("D", "DR", "DEBIT", "DB"), ("C", "CR", "CREDIT")
-# Date formats read without further knowledge, by label.
-DATE_FORMATS = {"ISO_YMD": "yyyy-MM-dd", "YMD_SLASH": "yyyy/MM/dd", "YMD_COMPACT": "yyyyMMdd", "DMY_MONTHNAME": "dd-MMM-yyyy", "DMY_MONTHNAME_SPACE": "dd MMM yyyy", "MDY_MONTHNAME": "MMM dd, yyyy", "DMY_DOT": "dd.MM.yyyy"}
-
 
 def minor_digits(currency: Column) -> Column:
     odd = F.create_map(*[F.lit(x) for pair in MINOR_DIGITS.items() for x in pair])
@@ -42,23 +44,6 @@ def folded_amount(debit: Column, credit: Column) -> Column:
     return F.when(debit.isNotNull() & credit.isNull(), F.abs(debit)).when(credit.isNotNull() & debit.isNull(), -F.abs(credit))
 
 
-def parsed_amount(raw: Column, decimal_comma: bool = False) -> Column:
-    """decimal(24,8) of a written amount: currency signs or codes at either end,
-    parentheses or a trailing minus for negatives, grouping marks; null if unreadable."""
-    body = F.trim(F.regexp_replace(raw, r"(?U)^\s*(?:[A-Z]{3}|[$€£¥])\s*|\s*(?:[A-Z]{3}|[$€£¥])\s*$", ""))
-    negative = body.rlike(r"^\(.*\)$") | body.endswith("-") | body.startswith("-")
-    digits = F.regexp_replace(body, r"(?U)[()\s'+-]", "")
-    digits = F.translate(F.translate(digits, ".", ""), ",", ".") if decimal_comma else F.translate(digits, ",", "")
-    value = F.when(digits.rlike(r"^[0-9]*\.?[0-9]+$|^[0-9]+\.$"), digits.try_cast("decimal(24,8)"))
-    return F.when(negative, -value).otherwise(value).cast("decimal(24,8)")
-
-
-def parsed_date(raw: Column) -> Column:
-    """A date in one of the formats that can't be misread, else null."""
-    tries = [F.try_to_timestamp(F.trim(raw), F.lit(f)).cast("date") for f in ("yyyy-MM-dd", "yyyy/MM/dd", "yyyyMMdd")]
-    return F.coalesce(*tries)
-
-
 def best_date(*dates: Column) -> Column:
     """The first of transaction, posting and value date that is known."""
     return F.coalesce(*dates)
@@ -75,3 +60,44 @@ def row_checksum(*columns: Column) -> Column:
     """SHA-256 over the values in order, null and empty kept apart."""
     cells = [F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("~")) for c in columns]
     return F.sha2(F.concat_ws("\u001f", *cells), 256)
+
+
+def date_distance(x: Column, y: Column) -> Column:
+    """Days between two dates, null if one is missing."""
+    return F.abs(F.datediff(x, y))
+
+
+def _same_currency(x_ccy: Column, y_ccy: Column, value: Column) -> Column:
+    known = x_ccy.isNotNull() & y_ccy.isNotNull()
+    return F.when(known & (x_ccy != y_ccy), F.raise_error(F.lit("amounts of different currencies")).cast("decimal(24,8)")).otherwise(value)
+
+
+def money_sum(x: Column, x_ccy: Column, y: Column, y_ccy: Column) -> Column:
+    """x + y; amounts of different currencies are an error."""
+    return _same_currency(x_ccy, y_ccy, (x + y).cast("decimal(24,8)"))
+
+
+def money_difference(x: Column, x_ccy: Column, y: Column, y_ccy: Column) -> Column:
+    """x - y; negative if x is less; amounts of different currencies are an error."""
+    return _same_currency(x_ccy, y_ccy, (x - y).cast("decimal(24,8)"))
+
+
+def within_absolute(x: Column, y: Column, limit: str) -> Column:
+    """Whether two amounts differ by at most ``limit``; false if one is missing."""
+    return F.coalesce(F.abs(x - y) <= F.lit(limit).cast("decimal(24,8)"), F.lit(False))
+
+
+def within_share(x: Column, y: Column, share: str) -> Column:
+    """Whether x differs from y by at most this share of y; of zero only zero does."""
+    near = F.abs(x - y) / F.nullif(F.abs(y), F.lit(0).cast("decimal(24,8)")) <= F.lit(share).cast("decimal(24,8)")
+    return F.coalesce(F.when(y == 0, x == 0).otherwise(near), F.lit(False))
+
+
+def fee_explains(gross: Column, fee: Column, net: Column, limit: str = "0") -> Column:
+    """Whether a gross amount less its fee, whatever the sign of the fee, is the net amount."""
+    return within_absolute(gross - F.abs(fee), net, limit)
+
+
+def fx_explains(amount: Column, rate: Column, other: Column, share: str = "0.01") -> Column:
+    """Whether an amount at a rate gives the other amount, within a share of it."""
+    return within_share((amount * rate).cast("decimal(24,8)"), other, share)

@@ -1,4 +1,4 @@
-"""Profiles, duplicates, invariants, aggregates, lineage and hash chains."""
+"""Profiles, duplicates, invariants, aggregates and lineage."""
 
 from __future__ import annotations
 
@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyloom.functions.values import quantized
+from tallyloom.session import cut
+
 
 def column_profile(df: DataFrame, columns: list[str], low_fill: float = 0.8) -> DataFrame:
     """One row a column: rows, filled, distinct, shortest and longest value, whether the
@@ -28,7 +31,7 @@ def column_profile(df: DataFrame, columns: list[str], low_fill: float = 0.8) ->
 
 def column_kinds(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column_name, kind): what a text column holds, from counts of the shapes of its
-    values: empty, boolean, date, integer, amount, identifier or text."""
+    values: empty, boolean, currency (three letters, at most 200 of them), date, integer, amount, identifier or text."""
     cells = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.trim(F.col(c).cast("string")).alias("v")) for c in columns])).alias("x")).select("x.*")
     values = cells.where("v is not null and v <> ''").groupBy("column_name", "v").agg(F.count("*").alias("n"))
     has = lambda pattern: F.sum(F.when(F.col("v").rlike(pattern), F.col("n")).otherwise(0))
@@ -36,13 +39,15 @@ def column_kinds(df: DataFrame, columns: list[str]) -> DataFrame:
         F.sum("n").alias("n"),
         F.count("*").alias("d"),
         has(r"^(?i:true|false|yes|no|y|n|0|1)$").alias("b"),
-        has(r"^\d{4}-\d{2}-\d{2}").alias("t"),
+        has(r"^\d{4}-\d{2}-\d{2}|^\d{1,2}[./-]\d{1,2}[./-]\d{4}$|^\d{4}/\d{1,2}/\d{1,2}$").alias("t"),
+        has(r"^(?i:[a-z]{3})$").alias("c"),
         has(r"^[+-]?\d+$").alias("i"),
         has(r"^[+-]?\d[\d.,]*$").alias("a"),
     )
     kind = (
         F.when(F.col("n").isNull(), "empty")
         .when((F.col("b") == F.col("n")) & (F.col("d") <= 2), "boolean")
+        .when((F.col("c") == F.col("n")) & (F.col("d") <= 200), "currency")
         .when(F.col("t") == F.col("n"), "date")
         .when(F.col("i") == F.col("n"), "integer")
         .when(F.col("a") == F.col("n"), "amount")
@@ -72,19 +77,27 @@ def age_buckets(days: Column) -> Column:
 
 def histogram_summary(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """count, sum, min, p50, p95, p99, max per group; a percentile is the value at position
-    floor(f * n) from 0, at most the last.  Positions come from the counts of distinct
-    values, so no group is gathered."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
-    upto = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*by)
-    placed = counts.withColumn("upto", F.sum("n").over(upto)).withColumn("total", F.sum("n").over(whole))
+    floor(f * n) from 0, at most the last.
+
+    The counts of distinct values are range-partitioned by (group, value); the offset of
+    each range is a prefix sum over the few ranges, so a group of a third of all rows is
+    ranked by as many tasks as it has ranges.
+    """
+    group = F.to_json(F.struct(*[F.col(c) for c in by]))
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n")).withColumn("_g", group)
+    ranged = cut(counts.repartitionByRange("_g", value).withColumn("_p", F.spark_partition_id()), "ranges")
+    along = Window.partitionBy("_g").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranged.groupBy("_g", "_p").agg(F.sum("_n").alias("held"))
+    offsets = ranges.select("_g", "_p", F.coalesce(F.sum("held").over(along), F.lit(0)).alias("before"), F.sum("held").over(Window.partitionBy("_g")).alias("all"))
+    inside = Window.partitionBy("_g", "_p").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    placed = ranged.join(offsets, ["_g", "_p"]).withColumn("upto", F.col("before") + F.sum("_n").over(inside))
 
     def at(fraction: float) -> Column:
-        position = F.least(F.floor(F.lit(fraction) * F.col("total")), F.col("total") - 1)
+        position = F.least(F.floor(F.lit(fraction) * F.col("all")), F.col("all") - 1)
         return F.min(F.when(F.col("upto") > position, F.col(value)))
 
     return placed.groupBy(*by).agg(
-        F.sum("n").alias("n"), F.sum(F.col(value) * F.col("n")).alias("total"), F.min(value).alias("lowest"), at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"), F.max(value).alias("highest")
+        F.sum("_n").alias("n"), F.sum(F.col(value) * F.col("_n")).alias("total"), F.min(value).alias("lowest"), at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"), F.max(value).alias("highest")
     )
 
 
@@ -94,27 +107,33 @@ def lineage(df: DataFrame, key: str, columns: dict[str, Column]) -> DataFrame:
     return df.select(key, F.inline(F.array(*cells)))
 
 
-def chained(df: DataFrame, by: str, order: str, payload: Column) -> DataFrame:
-    """Events with the hash of their content and of their predecessor's: a chain a
-    tenant, where each link is computed from its neighbour only and so in parallel."""
-    along = Window.partitionBy(by).orderBy(order)
-    own = df.withColumn("content_hash", F.sha2(payload, 256))
-    return own.withColumn("previous_hash", F.coalesce(F.lag("content_hash").over(along), F.lit("0" * 64))).withColumn("link_hash", F.sha2(F.concat("previous_hash", "content_hash"), 256))
+def union_findings(parts: list[DataFrame]) -> DataFrame:
+    """Findings of several checks under each other."""
+    return reduce(DataFrame.unionByName, parts)
+
 
+def unknown_members(members: DataFrame, records: DataFrame) -> DataFrame:
+    """Members (group_id, id, ...) of groups whose record does not exist."""
+    return members.join(records.select("id"), "id", "left_anti")
 
-def broken_links(events: DataFrame, by: str, order: str, payload: Column) -> DataFrame:
-    """Events whose stored hashes do not follow from content and predecessor."""
-    fresh = chained(events.drop("content_hash", "previous_hash", "link_hash"), by, order, payload).select(by, order, F.col("link_hash").alias("_expected"))
-    return events.join(fresh, [by, order]).where(F.col("link_hash") != F.col("_expected")).drop("_expected")
 
+def journal_faults(lines: DataFrame, by: str) -> DataFrame:
+    """(by, fault) of journals that are no double entry: MIXED_CURRENCIES, UNBALANCED or ZERO.
 
-def result_hash(df: DataFrame, columns: list[str]) -> DataFrame:
-    """One hash of a table that does not depend on the order of its rows: the sum of the
-    row hashes, so nothing is gathered."""
-    row = F.conv(F.substring(F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in columns]), 256), 1, 12), 16, 10).cast("decimal(38,0)")
-    return df.agg(F.count("*").alias("row_count"), F.sum(row).cast("string").alias("hash_sum"))
+    ``lines`` has side (debit or credit), currency, amount; sums are compared in the minor
+    units of the currency."""
+    side = lambda s: F.coalesce(F.sum(F.when(F.col("side") == s, F.col("amount"))), F.lit(0).cast("decimal(24,8)"))
+    sums = lines.groupBy(by).agg(F.count_distinct("currency").alias("currencies"), F.first("currency").alias("ccy"), side("debit").alias("debit"), side("credit").alias("credit"))
+    fault = F.when(F.col("currencies") != 1, "MIXED_CURRENCIES").when(quantized(F.col("debit"), F.col("ccy")) != quantized(F.col("credit"), F.col("ccy")), "UNBALANCED").when(F.col("debit") == 0, "ZERO")
+    return sums.select(by, fault.alias("fault")).where("fault is not null")
 
 
-def union_findings(parts: list[DataFrame]) -> DataFrame:
-    """Findings of several checks under each other."""
-    return reduce(DataFrame.unionByName, parts)
+def unexplained_difference(records: DataFrame, exceptions: DataFrame) -> DataFrame:
+    """(difference, explained, unexplained): the sum of side A less side B, less what closed
+    exceptions (status, ids) account for.  ``records`` has side, id, amount."""
+    signed = F.when(F.col("side") == "A", F.col("amount")).otherwise(-F.col("amount"))
+    closed = exceptions.where(F.col("status").isin("RESOLVED", "CLOSED")).select(F.explode("ids").alias("id"))
+    zero = F.lit(0).cast("decimal(24,8)")
+    explained = records.join(closed, "id").agg(F.coalesce(F.sum(signed), zero).alias("explained"))
+    whole = records.agg(F.coalesce(F.sum(signed), zero).alias("difference"))
+    return whole.crossJoin(F.broadcast(explained)).withColumn("unexplained", F.col("difference") - F.col("explained"))  # one row each

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tallyloom.functions import similarity as sim
 from tallyloom.functions import text as tx
 from tallyloom.functions import values as vl
+from tallyloom.operators import audit as au
 from tallyloom.operators import checks as ck
 from tallyloom.operators import matching as mt
 from tallyloom.session import read_table
@@ -333,9 +334,7 @@ def exact_reference_match(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_SQL_SIDES}" + _UNIQUE_SQL.format(hits="SELECT a.id AS a_id, b.id AS b_id FROM a JOIN b ON a.ccy = b.ccy AND a.party = b.party AND abs(a.units - b.units) <= 500 AND abs(a.day - b.day) <= 3"))
 def counterparty_tolerance_match(spark: SparkSession, d: str) -> DataFrame:
     a, b = bank(spark, d), ledger(spark, d)
-    near = mt.with_sides(mt.band_pairs(a.where("party is not null"), b.where("party is not null"), 500), a, b)
-    hits = near.where((F.col("a_party") == F.col("b_party")) & (F.abs(F.datediff("a_day", "b_day")) <= 3))
-    return mt.two_way_unique(hits.select("a_id", "b_id"))
+    return mt.two_way_unique(mt.band_pairs(a, b, 500, days=3, same=("party",)))
 
 
 _RULE_1 = "abs(a.units - b.units) = 0 AND abs(a.day - b.day) <= 3"
@@ -389,11 +388,10 @@ def locked_rows(spark: SparkSession, d: str) -> DataFrame:
 def _scored(spark: SparkSession, d: str) -> DataFrame:
     """Evidence score of pairs in an amount band: reference, amount, date, party."""
     a, b = bank(spark, d), ledger(spark, d)
-    both = mt.with_sides(mt.band_pairs(a, b, 500), a, b)
+    both = mt.with_sides(mt.band_pairs(a, b, 500, days=5), a, b)
     known = F.col("a_ref").isNotNull() & F.coalesce("b_inv", "b_ref").isNotNull()
     same = F.coalesce((F.col("a_ref") == F.col("b_inv")) | (F.col("a_ref") == F.col("b_ref")), F.lit(False))
     gap = F.abs(F.datediff("a_day", "b_day"))
-    both = both.where(gap <= 5)
     party_known = F.col("a_party").isNotNull() & F.col("b_party").isNotNull()
     earned = F.when(same, 35.0).otherwise(0.0) + 25.0 * (1 - F.abs(F.col("a_units") - F.col("b_units")) / 501) + 10.0 * (1 - gap / 6) + F.when(F.col("a_party") == F.col("b_party"), 10.0).otherwise(0.0)
     available = F.when(known, 35.0).otherwise(0.0) + 35.0 + F.when(party_known, 10.0).otherwise(0.0) + F.when(same, 0.0).otherwise(45.0)
@@ -557,25 +555,42 @@ def _payload() -> Column:
     return F.concat_ws("|", F.col("event_id").cast("string"), "event_type", F.col("user_id").cast("string"))
 
 
-_CHAIN_SQL = """e AS (SELECT user_id, event_id, sha256(CAST(event_id AS VARCHAR) || '|' || event_type || '|' || CAST(user_id AS VARCHAR)) AS content_hash FROM events),
-  c AS (SELECT *, coalesce(lag(content_hash) OVER (PARTITION BY user_id ORDER BY event_id), repeat('0', 64)) AS previous_hash FROM e)"""
+# A link takes in the link before it, so the SQL has to walk each chain.
+_CHAIN_SQL = """RECURSIVE e AS (SELECT user_id, event_id, sha256(CAST(event_id AS VARCHAR) || '|' || event_type || '|' || CAST(user_id AS VARCHAR)) AS content_hash,
+      row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
+  c AS (SELECT user_id, event_id, content_hash, k, '' AS previous_hash, sha256(content_hash) AS link_hash FROM e WHERE k = 1
+        UNION ALL SELECT e.user_id, e.event_id, e.content_hash, e.k, c.link_hash, sha256(c.link_hash || e.content_hash) FROM c JOIN e ON e.user_id = c.user_id AND e.k = c.k + 1)"""
 
 
-@query(f"WITH {_CHAIN_SQL} SELECT user_id, event_id, content_hash, previous_hash, sha256(previous_hash || content_hash) AS link_hash FROM c")
+@query(f"WITH {_CHAIN_SQL} SELECT user_id, event_id, content_hash, previous_hash, link_hash FROM c")
 def audit_chain(spark: SparkSession, d: str) -> DataFrame:
-    return ck.chained(read_table(spark, d, "events"), "user_id", "event_id", _payload()).select("user_id", "event_id", "content_hash", "previous_hash", "link_hash")
+    return au.sealed(read_table(spark, d, "events"), "user_id", "event_id", _payload()).select("user_id", "event_id", "content_hash", "previous_hash", "link_hash")
+
 
+def _forged(spark: SparkSession, d: str) -> DataFrame:
+    """Sealed chains in which the content of some events was changed afterwards."""
+    events = au.sealed(read_table(spark, d, "events"), "user_id", "event_id", _payload())
+    return events.withColumn("event_type", F.when(F.col("event_id") % 97 == 0, F.concat("event_type", F.lit("!"))).otherwise(F.col("event_type")))
 
-@query(f"WITH {_CHAIN_SQL} SELECT user_id, event_id FROM c WHERE event_id % 97 = 0")
+
+@query("SELECT user_id, event_id FROM events QUALIFY event_id >= min(CASE WHEN event_id % 97 = 0 THEN event_id END) OVER (PARTITION BY user_id)")
 def audit_chain_verify(spark: SparkSession, d: str) -> DataFrame:
-    events = ck.chained(read_table(spark, d, "events"), "user_id", "event_id", _payload())
-    forged = events.withColumn("link_hash", F.when(F.col("event_id") % 97 == 0, F.sha2("link_hash", 256)).otherwise(F.col("link_hash")))
-    return ck.broken_links(forged, "user_id", "event_id", _payload()).select("user_id", "event_id")
+    return au.broken_links(_forged(spark, d), "user_id", "event_id", _payload()).select("user_id", "event_id")
 
 
-@query()
+@query("SELECT user_id, min(event_id) AS first_bad FROM events WHERE event_id % 97 = 0 GROUP BY user_id")
+def audit_first_broken(spark: SparkSession, d: str) -> DataFrame:
+    return au.first_broken(_forged(spark, d), "user_id", "event_id", _payload())
+
+
+@query(
+    _CASCADE_SQL
+    + """, h AS (SELECT sha256('=' || a_id || chr(31) || '=' || b_id || chr(31) || '=' || rule) AS h FROM m),
+      k AS (SELECT h[1:3] AS k, count(*) AS n, sha256(string_agg(h, '' ORDER BY h)) AS b FROM h GROUP BY 1)
+      SELECT CAST(sum(n) AS BIGINT) AS row_count, sha256(string_agg(b, '' ORDER BY k)) AS result_hash FROM k"""
+)
 def result_hash(spark: SparkSession, d: str) -> DataFrame:
-    return ck.result_hash(_cascade(spark, d), ["a_id", "b_id", "rule"])
+    return au.result_hash(_cascade(spark, d), ["a_id", "b_id", "rule"])
 
 
 @query(
