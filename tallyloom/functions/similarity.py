@@ -74,6 +74,16 @@ def jaro_winkler(a: str, b: str) -> float:
     return base + prefix * 0.1 * (1 - base)
 
 
+def jaro_similarity(a: Column, b: Column) -> Column:
+    """Jaro, vectorised; null if a side is null.  Call it on distinct pairs."""
+
+    @F.pandas_udf(DoubleType())
+    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([None if p is None or q is None else jaro(p, q) for p, q in zip(x, y, strict=True)], dtype="float64")
+
+    return run(a, b)
+
+
 def jaro_winkler_similarity(a: Column, b: Column) -> Column:
     """Jaro-Winkler, vectorised; null if a side is null.  Call it on distinct pairs."""
 

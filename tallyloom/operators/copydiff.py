@@ -8,7 +8,7 @@ masks are then emitted as cells.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -59,27 +59,42 @@ def _compare(columns: list[str]) -> Callable[[pa.Table, pa.Table], pa.Table]:
     return compare
 
 
+def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches without rows that are equal to another one of the batch."""
+    for batch in batches:
+        keys = batch.column(0).dictionary_encode()
+        if len(keys.dictionary) < len(keys):
+            table = pa.Table.from_batches([batch])
+            table = table.group_by(table.column_names).aggregate([]).select(batch.schema.names)
+            yield from table.combine_chunks().cast(batch.schema).to_batches()
+        else:
+            yield batch
+
+
 def copy_differences(source: DataFrame, copy: DataFrame, key: str, columns: list[str], rows_hint: int | None = None) -> DataFrame:
     """(id, finding, source_value, copy_value) for each missing row and differing cell.
 
     ``finding`` is ``missing_in_copy``, ``missing_in_source`` or the column that
     differs.  Keys are compared as stored; repeated rows of either side count
-    once, and identical repeats are folded before the bucket shuffle, so that a
+    once, and identical repeats are folded batch by batch before the one shuffle, so that a
     key that holds a third of all rows reaches its bucket as a few rows.  Rows
     with a null key identify nothing and are left out.  Null differs from any
     value and not from null.  Columns outside ``columns`` are ignored; an empty
     table makes every row of the other side missing.
 
-    The number of buckets follows the number of rows (``rows_hint`` if known, else a
-    metadata count), so a bucket stays at ``ROWS_PER_BUCKET`` whatever the size.
+    The number of buckets follows the rows of the larger side (``rows_hint`` if known, else
+    counts, which tables answer from their metadata), so a bucket stays at
+    ``ROWS_PER_BUCKET`` whatever the size.
     """
     spark = source.sparkSession
-    rows = rows_hint if rows_hint is not None else source.count()
+    rows = rows_hint if rows_hint is not None else max(source.count(), copy.count())
     buckets = max(shuffle_width(spark), -(-rows // ROWS_PER_BUCKET))
 
     def bucketed(df: DataFrame) -> DataFrame:
-        picked = df.select(F.col(key).alias("_key"), *[F.col(f"`{c}`") for c in columns]).where("_key is not null").distinct()
-        return picked.withColumn("_bucket", F.pmod(F.xxhash64("_key"), F.lit(buckets)).cast("int"))
+        picked = df.select(F.col(key).cast("string").alias("_key"), *[F.col(f"`{c}`") for c in columns]).where("_key is not null")
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema)
+        folded = picked.mapInArrow(_folded, schema)
+        return folded.withColumn("_bucket", F.pmod(F.xxhash64("_key"), F.lit(buckets)).cast("int"))
 
     left, right = bucketed(source), bucketed(copy)
     return left.groupBy("_bucket").cogroup(right.groupBy("_bucket")).applyInArrow(

@@ -72,14 +72,17 @@ def tokenize(texts: list[str | None], seps: list[str | None]) -> tuple[list[list
     for column in grid.T:
         maps = STEP[column[:, None], maps]
 
-    # Compose along the records; rounds = chunks of the longest record.
-    entry = np.zeros(len(grid), dtype=np.uint8)
-    state = np.full(n, START, dtype=np.uint8)
-    for k in range(int(per_record.max())):
-        live = np.flatnonzero(per_record > k)
-        at = first_chunk[live] + k
-        entry[at] = state[live]
-        state[live] = maps[at, state[live]]
+    # Compose along the records: each round doubles the chunks that a map reaches back over.
+    place = np.arange(len(grid)) - np.repeat(first_chunk, per_record)
+    reach, span = maps, 1
+    while span < per_record.max():
+        far = np.flatnonzero(place >= span)
+        joined = reach.copy()
+        joined[far] = np.take_along_axis(reach[far], reach[far - span], axis=1)
+        reach, span = joined, 2 * span
+    entry = np.full(len(grid), START, dtype=np.uint8)
+    entry[1:] = np.where(place[1:] > 0, reach[:-1, START], START)
+    state = reach[first_chunk + per_record - 1, START]
 
     # Replay from the true start states.
     after = np.empty_like(grid)

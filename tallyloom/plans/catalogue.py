@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.operators.copydiff import copy_differences
 from tallyloom.operators.rejects import LAYOUT, accepted, parse_records, rejected
-from tallyloom.plans.reconcile import ORACLES, QUERIES
+from tallyloom.plans.pipeline import ORACLES, QUERIES
 from tallyloom.session import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]

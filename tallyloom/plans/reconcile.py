@@ -108,7 +108,7 @@ def word_counts(spark: SparkSession, d: str) -> DataFrame:
 )
 def extract_invoices(spark: SparkSession, d: str) -> DataFrame:
     found = _a(spark, d).select("row_id", F.inline(tx.extract_references(F.col("description"))))
-    return found.where("kind = 'invoice_number'")
+    return found.where("kind = 'invoice_number'").select("row_id", "kind", "value", "normalized")
 
 
 @query()
