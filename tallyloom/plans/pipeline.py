@@ -15,10 +15,12 @@ from tallyloom.operators import checks as ck
 from tallyloom.operators import mapping as mp
 from tallyloom.operators import matching as mt
 from tallyloom.operators import quality as ql
+from tallyloom.operators import reporting as rp
 from tallyloom.operators import rules as rl
 from tallyloom.operators import scoring as sc
 from tallyloom.plans.reconcile import _NORM, _SQL_SIDES, ORACLES, QUERIES, bank, ledger, query
 from tallyloom.session import read_table
+from tallyloom.sources import connectors as cn
 
 __all__ = ["ORACLES", "QUERIES"]  # with those of this module
 
@@ -447,3 +449,106 @@ def replay_same(spark: SparkSession, d: str) -> DataFrame:
     """Two runs over the same rows, differently spread, give one hash."""
     pairs = mt.blocked_pairs(bank(spark, d), ledger(spark, d), {"ref": ["ref"]}, {"ref": ["ref", "inv"]})
     return au.replayed(pairs, pairs.repartition(7, "b_id"), ["a_id", "b_id"]).select("same")
+
+
+# ------------------------------------------------------------- processors, reports
+
+
+def _raw_payouts(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as payouts in JSON, their lines as components; every eleventh states a cent more."""
+    cents = lambda c: F.round(F.col(c).cast("decimal(18,2)") * 100, 0).cast("long")
+    line = F.struct(F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("id"), F.lit("charge").alias("type"), cents("l_extendedprice").alias("amount"), F.col("l_linenumber").cast("long").alias("fee"))
+    lines = read_table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(line).alias("transactions"), F.sum(cents("l_extendedprice") - F.col("l_linenumber")).alias("net"))
+    whole = F.struct(
+        F.concat(F.lit("po_"), F.col("o_orderkey").cast("string")).alias("id"), (F.col("net") + F.when(F.col("o_orderkey") % 11 == 0, 1).otherwise(0)).alias("amount"), F.when(F.col("o_orderkey") % 5 == 0, "jpy").otherwise("eur").alias("currency"),
+        F.unix_timestamp("o_orderdate").alias("arrival_date"), F.struct(cents("o_totalprice").alias("gross"), F.lit(7).cast("long").alias("fee")).alias("summary"), "transactions",
+    )
+    orders = read_table(spark, d, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
+    return orders.select(F.to_json(whole).alias("record"))
+
+
+_PAYOUT_SQL = """n AS (SELECT l_orderkey AS k, CAST(sum(CAST(round(CAST(l_extendedprice AS DECIMAL(18, 2)) * 100) AS BIGINT) - l_linenumber) AS BIGINT) AS net FROM lineitem GROUP BY 1),
+  p AS (SELECT o_orderkey AS k, net, net + CASE WHEN o_orderkey % 11 = 0 THEN 1 ELSE 0 END AS stated, CASE WHEN o_orderkey % 5 = 0 THEN 1 ELSE 100 END AS unit, CAST(o_orderdate AS DATE) AS day, CAST(round(CAST(o_totalprice AS DECIMAL(18, 2)) * 100) AS BIGINT) AS gross FROM orders JOIN n ON k = o_orderkey)"""
+
+
+@query(f"WITH {_PAYOUT_SQL} SELECT 'po_' || k AS payout_id, CAST(day AS VARCHAR) AS day, CASE unit WHEN 1 THEN 'JPY' ELSE 'EUR' END AS currency, round(stated / unit, 2) AS amount, round(gross / unit, 2) AS gross, round(7.0 / unit, 2)::DOUBLE AS fee FROM p")
+def payout_records(spark: SparkSession, d: str) -> DataFrame:
+    p = cn.payouts(_raw_payouts(spark, d), "record", "conn")
+    return p.select("payout_id", F.col("transaction_date").cast("string").alias("day"), "currency", *[F.round(F.col(c).cast("double"), 2).alias(n) for c, n in (("amount", "amount"), ("gross_amount", "gross"), ("fee_amount", "fee"))])
+
+
+@query(f"WITH {_PAYOUT_SQL} SELECT 'po_' || k AS payout_id, round(stated / unit, 2) AS stated, round(net / unit, 2) AS components FROM p WHERE stated <> net")
+def payout_decomposition(spark: SparkSession, d: str) -> DataFrame:
+    """Payouts that their components don't add up to."""
+    return cn.payout_faults(_raw_payouts(spark, d), "record").select("payout_id", *[F.round(F.col(c).cast("double"), 2).alias(c) for c in ("stated", "components")])
+
+
+@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'ok' WHEN 1 THEN 'invalid_signature' WHEN 2 THEN 'stale_timestamp' ELSE 'malformed' END AS verdict FROM events")
+def signed_notices(spark: SparkSession, d: str) -> DataFrame:
+    """Events as signed notices: rightly signed, forged, too old, without a signature."""
+    events = read_table(spark, d, "events").select("event_id", F.concat_ws("|", F.col("event_id").cast("string"), "event_type").alias("body"))
+    kind, stamp = F.col("event_id") % 4, F.lit("1000000")
+    signed = F.concat(F.lit("t=1000000,v1=00,v1="), cn.hmac_sha256("s3cret", F.concat(stamp, F.lit("."), F.when(kind == 1, F.concat("body", F.lit("!"))).otherwise(F.col("body")))))
+    header = F.when(kind == 3, "t=1000000").otherwise(signed)
+    return events.select("event_id", cn.notice_verdict(F.col("body"), header, "s3cret", F.when(kind == 2, 1_000_301).otherwise(1_000_100)).alias("verdict"))
+
+
+def _exceptions(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as exceptions."""
+    k = F.col("o_orderkey")
+    status = F.when(k % 5 == 0, "CLOSED").otherwise("OPEN")
+    category = F.element_at(F.array(*[F.lit(c) for c in ("WRONG_AMOUNT", "BANK_FEE", "TIMING_DIFFERENCE")]), (k % 3 + 1).cast("int"))
+    severity = F.when(k % 7 == 0, "HIGH").otherwise("LOW")
+    opened = F.to_date("o_orderdate")
+    return read_table(spark, d, "orders").select(k.alias("id"), status.alias("status"), category.alias("category"), severity.alias("severity"), F.col("o_totalprice").cast("decimal(24,8)").alias("exposure"), opened.alias("opened"), F.date_add(opened, 7).alias("due"), F.datediff(F.lit("1998-09-01").cast("date"), opened).alias("age_days"))
+
+
+_EXCEPTION_SQL = "x AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 = 0 THEN 'CLOSED' ELSE 'OPEN' END AS status, ['WRONG_AMOUNT', 'BANK_FEE', 'TIMING_DIFFERENCE'][o_orderkey % 3 + 1] AS category, CASE WHEN o_orderkey % 7 = 0 THEN 'HIGH' ELSE 'LOW' END AS severity, o_totalprice AS exposure, CAST(o_orderdate AS DATE) AS opened, DATE '1998-09-01' - CAST(o_orderdate AS DATE) AS age FROM orders)"
+
+
+@query(f"WITH {_EXCEPTION_SQL} SELECT CASE WHEN age <= 7 THEN '0-7' WHEN age <= 30 THEN '8-30' WHEN age <= 60 THEN '31-60' WHEN age <= 90 THEN '61-90' ELSE '90+' END AS bucket, category, severity, count(*) AS open, CAST(round(sum(exposure)) AS BIGINT) AS exposure, count(*) FILTER (severity = 'HIGH') AS high_risk, count(*) FILTER (opened + 7 < DATE '1998-09-01') AS overdue, CAST(max(age) AS INTEGER) AS oldest_days FROM x WHERE status <> 'CLOSED' GROUP BY 1, 2, 3")
+def exception_ageing(spark: SparkSession, d: str) -> DataFrame:
+    return rp.ageing(_exceptions(spark, d), F.lit("1998-09-01").cast("date")).withColumn("exposure", F.round("exposure", 0).cast("long"))
+
+
+@query(f"""WITH {_EXCEPTION_SQL}, l AS (SELECT 'largest' AS section, id, exposure AS amount FROM x UNION ALL SELECT 'aged', id, exposure FROM x WHERE age >= 30 UNION ALL SELECT 'fee_like', id, exposure FROM x WHERE category = 'BANK_FEE'),
+        w AS (SELECT 'waiting' AS section, o_orderkey AS id FROM orders WHERE o_orderkey % 4 = 1), r AS (SELECT section, id, row_number() OVER (PARTITION BY section ORDER BY round(amount, 2) DESC, id) AS place FROM l UNION ALL SELECT section, id, row_number() OVER (ORDER BY id) FROM w)
+        SELECT section, CAST(place AS INTEGER) AS place, id FROM r WHERE place <= 10""")
+def investigation_bundle(spark: SparkSession, d: str) -> DataFrame:
+    x = _exceptions(spark, d).withColumn("exposure", F.round("exposure", 2))
+    groups = read_table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 4 == 1, "SUGGESTED").otherwise("APPROVED").alias("status"), F.col("o_totalprice").alias("amount"))
+    return rp.investigation(x, groups).select("section", "place", "id")
+
+
+@query(f"""WITH {_EXCEPTION_SQL}, m AS (SELECT count(*) AS n, count(*) FILTER (l_linenumber % 2 = 0) AS auto, count(*) FILTER (l_linenumber % 2 = 1) AS sug, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS u FROM lineitem),
+        a AS (SELECT count(*) AS n, CAST(sum(CAST(round(amount * 1000) AS BIGINT)) AS BIGINT) AS u FROM source_a), b AS (SELECT count(*) AS n, CAST(sum(CAST(round(amount * 1000) AS BIGINT)) AS BIGINT) AS u FROM source_b), e AS (SELECT count(*) AS n, count(*) FILTER (severity = 'HIGH') AS h, max(age) AS o FROM x)
+        SELECT a.u AS balance_a, b.u AS balance_b, a.u - b.u AS difference, m.n AS matches, m.u AS matched_units, m.auto AS auto, e.n AS exceptions, e.h AS high_risk, CAST(e.o AS INTEGER) AS oldest_days, round(200.0::DOUBLE * m.n / (a.n + b.n), 2) AS completion_pct, round(m.auto / m.n::DOUBLE, 4) AS auto_rate, round((m.sug + e.n) / (a.n + b.n)::DOUBLE, 4) AS review_rate FROM a, b, m, e""")
+def whole_run_summary(spark: SparkSession, d: str) -> DataFrame:
+    """All numbers of a run; lines stand in for matches of two rows each."""
+    lines = read_table(spark, d, "lineitem").select(F.when(F.col("l_linenumber") % 2 == 0, "AUTO_MATCH").otherwise("SUGGEST").alias("decision"), F.lit("SUGGESTED").alias("status"), F.col("l_quantity").cast("long").alias("units"), F.lit(2).alias("members"))
+    whole = rp.run_summary(bank(spark, d).select("id", "units"), ledger(spark, d).select("id", "units"), lines, _exceptions(spark, d))
+    return whole.select("balance_a", "balance_b", "difference", "matches", "matched_units", "auto", "exceptions", "high_risk", "oldest_days", "completion_pct", "auto_rate", "review_rate")
+
+
+@query(f"""WITH {_SQL_SIDES.strip()}, p AS (SELECT DISTINCT a.id AS a_id, b.id AS b_id, abs(a.units - b.units) AS g FROM a JOIN b ON a.ref = b.ref OR a.ref = b.inv),
+        t AS (SELECT a_id, b_id FROM p QUALIFY row_number() OVER (PARTITION BY a_id ORDER BY g, b_id) = 1)
+        SELECT a.id AS a_id, t.b_id FROM a LEFT JOIN t ON t.a_id = a.id UNION ALL SELECT NULL, b.id FROM b WHERE b.id NOT IN (SELECT b_id FROM t)""")
+def leftover_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Every bank row with its best candidate by amount, and the ledger rows that are nobody's."""
+    a, b = bank(spark, d), ledger(spark, d)
+    pairs = mt.with_sides(mt.blocked_pairs(a, b, {"ref": ["ref"]}, {"ref": ["ref", "inv"]}), a, b)
+    scored = pairs.select("a_id", "b_id", (-F.abs(F.col("a_units") - F.col("b_units"))).cast("double").alias("score"))
+    return rp.leftover_pairs(a.select("id"), b.select("id"), scored).select("a_id", "b_id")
+
+
+@query(f"SELECT row_id, 'reference is ' || coalesce('''' || {_NORM.format('reference')} || '''', 'nothing') || ', from ' || coalesce('''' || reference || '''', 'nothing') || ' as delivered' AS text FROM source_a")
+def lineage_explained(spark: SparkSession, d: str) -> DataFrame:
+    cells = ck.lineage(read_table(spark, d, "source_a"), "row_id", {"reference": tx.normalize_reference(F.col("reference"))})
+    return rp.explained(cells, "row_id").select("row_id", "text")
+
+
+@query("SELECT category, amount, currency FROM (SELECT 'X' AS category, CAST(amount AS VARCHAR) AS amount, currency, counterparty FROM source_b)")
+def handed_on_fields(spark: SparkSession, d: str) -> DataFrame:
+    """What a task may see of ledger rows: nothing but its fields."""
+    rows = read_table(spark, d, "source_b").select(F.lit("X").alias("category"), F.col("amount").cast("string").alias("amount"), "currency", "counterparty", "id")
+    return rp.handed_on(rows, "propose")
