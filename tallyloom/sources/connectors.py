@@ -14,7 +14,7 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from tallyloom.functions.values import minor_digits, name_uuid
 
@@ -168,19 +168,21 @@ class _Batch(DataSourceReader):
         yield from _records(Path(partition.path)) if isinstance(partition, _Page) else ()
 
 
-class _Stream(SimpleDataSourceStreamReader):
+class _Stream(DataSourceStreamReader):
     def __init__(self, folder: str) -> None:
         self.folder = folder
 
     def initialOffset(self) -> dict:  # noqa: N802
         return {"pages": 0}
 
-    def read(self, start: dict) -> tuple[Iterator[tuple[str, str]], dict]:
-        pages = _pages(self.folder)[start["pages"] :]
-        return (r for p in pages for r in _records(p)), {"pages": start["pages"] + len(pages)}
+    def latestOffset(self) -> dict:  # noqa: N802
+        return {"pages": len(_pages(self.folder))}
 
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple[str, str]]:  # noqa: N802
-        return (r for p in _pages(self.folder)[start["pages"] : end["pages"]] for r in _records(p))
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        return [_Page(str(p)) for p in _pages(self.folder)[start["pages"] : end["pages"]]]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple[str, str]]:
+        yield from _records(Path(partition.path)) if isinstance(partition, _Page) else ()
 
     def commit(self, end: dict) -> None:
         """Nothing to let go of: pages stay where they are."""
@@ -200,5 +202,5 @@ class RecordedPages(DataSource):
     def reader(self, schema) -> DataSourceReader:  # noqa: ANN001
         return _Batch(self.options["path"])
 
-    def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:  # noqa: ANN001, N802
+    def streamReader(self, schema) -> DataSourceStreamReader:  # noqa: ANN001, N802
         return _Stream(self.options["path"])
