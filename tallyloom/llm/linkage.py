@@ -3,7 +3,7 @@
 Candidates come from equality keys in three stages: two records alone with their
 reference, party and amount; then equal references; then weaker keys for all records but
 those that a stage before settled beyond doubt.  On each candidate a set of matching
-functions votes (reference, amount, party, date, rarity), each with one of a few
+functions votes (reference, amount and its rarity, party, date), each with one of a few
 verdicts.  A generative model with a hidden "same payment" bit is fitted to the
 counts of the verdict patterns by expectation maximisation; it learns how often
 each function gives each verdict on true and on false candidates, joins functions
@@ -92,15 +92,13 @@ class LabelModel:
                 best = max(best, (total, i, j))
         return best
 
-    def fit(self, votes: np.ndarray, counts: np.ndarray, start: np.ndarray, joins: int = 2) -> np.ndarray:
-        """Posterior of each pattern; ``start`` is a first guess, at most ``joins``
-        correlated pairs of functions become one function of both verdicts."""
+    def fit(self, votes: np.ndarray, counts: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """Posterior of each pattern; ``start`` is a first guess.  Functions that are correlated
+        become one function of both verdicts, pair by pair while two are left to compare."""
         self.rare = [np.array([self.limits.get((k, v), 1.0) for v in range(votes[:, k].max() + 1)]) for k in range(votes.shape[1])]
         # Dependence is asked under the first guess: two copies of one vote would take
         # over the hidden bit, and given that bit they no longer seem to depend.
-        for _ in range(joins):
-            if votes.shape[1] < 3:
-                break
+        while votes.shape[1] > 2:
             dependence, i, j = self._most_dependent(votes, counts, start)
             if dependence < self.dependence:
                 break
@@ -126,8 +124,8 @@ def bare_number(digits: Column) -> Column:
     """Digits as series write them without padding: zeros after a leading year and at the
     start fall away.  Null below three digits."""
     year = digits.startswith("19") | digits.startswith("20")
-    bare = F.when((F.length(digits) >= 7) & year, F.concat(F.substring(digits, 1, 4), F.ltrim(F.substring(digits, 5, 40), F.lit("0")))).otherwise(F.ltrim(digits, F.lit("0")))
-    return F.when(F.length(digits) >= 3, F.substring(bare, 1, 18))
+    bare = F.when((F.length(digits) >= 7) & year, F.concat(F.substring(digits, 1, 4), F.ltrim(F.substring(digits, F.lit(5), F.length(digits)), F.lit("0")))).otherwise(F.ltrim(digits, F.lit("0")))
+    return F.when(F.length(digits) >= 3, bare)
 
 
 # Letters with marks and what they are compared as.
@@ -261,7 +259,7 @@ LIMITS = {("v_ref", 3): 0.02, ("v_amount", 4): 0.001, ("v_party", 3): 0.005, ("v
 def _alike(x: Column, y: Column) -> Column:
     """One digit wrong, missing, extra or two swapped, or cut off at an end."""
     lev = F.levenshtein(x, y, 2)
-    swapped = (lev == 2) & (F.length(x) == F.length(y)) & (F.array_sort(F.split(x, "")) == F.array_sort(F.split(y, "")))
+    swapped = (lev == 2) & (F.length(x) == F.length(y)) & (F.sort_array(F.split(x, "")) == F.sort_array(F.split(y, "")))
     cut_off = (F.least(F.length(x), F.length(y)) >= 4) & (x.startswith(y) | y.startswith(x) | x.endswith(y) | y.endswith(x))
     return F.coalesce(cut_off | lev.isin(0, 1) | swapped, F.lit(False))
 
