@@ -79,7 +79,7 @@ def hash_rows(parts: DataFrame) -> DataFrame:
     plain = F.xxhash64(F.lit("plain"), fold(F.col("raw_ref")), fold(F.col("raw_party")), *value)
     timed = F.when(F.col("micros").isNotNull(), F.xxhash64(F.lit("clock"), _clock(), *value)).otherwise(plain)
     coded = F.when(F.col("code").isNotNull(), F.xxhash64(F.lit("code"), "within", "code"))
-    return parts.select("row_id", F.explode(F.array(coded, timed)).alias("h")).where("h is not null").select("h", "row_id")
+    return parts.select("row_id", coded.alias("coded"), timed.alias("timed")).unpivot("row_id", ["coded", "timed"], "kind", "h").where("h is not null").select("h", "row_id")
 
 
 class HashHistory:
@@ -174,7 +174,12 @@ def _evidence(parts: DataFrame) -> DataFrame:
     digits = F.regexp_replace("text", r"\P{N}+", "")
     texts.append(F.when(~timed & (F.col("ref") != ""), word("plain-ref", F.col("ref"), F.col("party"))))
     texts.append(F.when(~timed & (F.col("ref") == "") & (digits != ""), word("plain-digits", digits, F.col("party"))))
-    listed = lambda df, columns, *more: df.select("row_id", F.explode(F.array(*columns)).alias("k"), *more).where("k is not null").select("row_id", "k.k1", "k.k2", *more)
+
+    def listed(df: DataFrame, columns: list[Column], *more: str) -> DataFrame:
+        names = [f"_{n}" for n in range(len(columns))]
+        keyed = df.select("row_id", *more, *[c.alias(n) for n, c in zip(names, columns, strict=True)]).unpivot(["row_id", *more], names, "kind", "k")
+        return keyed.where("k is not null").select("row_id", "k.k1", "k.k2", *more)
+
     asked = cut(listed(parts.where("text <> ''"), texts, "text"), "texts")
     return listed(parts, keys).unionByName(_text_keys(asked))
 

@@ -148,7 +148,7 @@ def _records(rows: DataFrame, digits: list[Column], words: Column, parties: Data
         *[d.alias(f"raw{k}") for k, d in enumerate(digits, 1)],
         words.alias("words"),
     )
-    narrow = narrow.join(broadcast_if(parties.select(F.col("name").alias("_name"), "party", "stem"), BROADCAST_NAMES), "_name", "left").withColumn("words", F.coalesce("words", F.when(F.length("stem") >= 6, F.col("stem"))))
+    narrow = narrow.join(parties.select(F.col("name").alias("_name"), "party", "stem"), "_name", "left").withColumn("words", F.coalesce("words", F.when(F.length("stem") >= 6, F.col("stem"))))
     return narrow.select("id", "day", "ccy", "am", "amk", "party", *[c for k in (1, 2) for c in (bare_number(F.col(f"raw{k}")).alias(f"ref{k}"), f"raw{k}")], "words")
 
 
@@ -193,8 +193,8 @@ def _listed(records: DataFrame, *arrays: Column) -> DataFrame:
 
 def _reference_keys(records: DataFrame) -> DataFrame:
     """Equal reference, with the party or with the amount."""
-    each = lambda r: [_hashed("party", r, "ccy", "party"), _hashed("amount", r, "ccy", "amk")]
-    return _listed(records, F.array(*each("ref1"), *each("ref2")))
+    keys = {f"{r}_{kind}": _hashed(kind, r, "ccy", other) for r in ("ref1", "ref2") for kind, other in (("party", "party"), ("amount", "amk"))}
+    return records.select("id", *[c.alias(n) for n, c in keys.items()]).unpivot("id", list(keys), "kind", "h").where("h is not null").select("h", "id")
 
 
 def _weak_keys(records: DataFrame, bank: bool) -> DataFrame:

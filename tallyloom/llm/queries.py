@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.llm.history import repeated_rows
-from tallyloom.llm.linkage import bank_records, ledger_records, linked_records, with_repeats
+from tallyloom.llm.linkage import BROADCAST_NAMES, BROADCAST_REPEATS, bank_records, ledger_records, linked_records, with_repeats
 from tallyloom.llm.mixing import mix_report, mix_sources
 from tallyloom.llm.names import link_names, variant_pairs
 from tallyloom.llm.nearest import nearest_in_time, party_key
 from tallyloom.llm.pii import disclosure, personal_spans, sanitised, scan
 from tallyloom.llm.tokens import encode_corpus, token_counts
-from tallyloom.session import cut, read_table, scratch
+from tallyloom.session import broadcast_if, cut, read_table, scratch
 
 
 def _typed_names(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,10 +46,11 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _payments(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Linked records, and the repeats of either side."""
     with scratch(spark) as keep:
-        parties = cut(link_names(_typed_names(spark, sf_dir), learn=False).select("name", "party", "stem"), "parties")
+        parties = broadcast_if(link_names(_typed_names(spark, sf_dir), learn=False).select("name", "party", "stem"), BROADCAST_NAMES)
         # All batches are at hand, so they are admitted as one.
         again = keep(repeated_rows(_delivered(spark, sf_dir), "text", "side", batch=None), "again")
-        first = lambda records: cut(records.join(again.select(F.col("repeat_row_id").alias("id")), "id", "left_anti"), "records")
+        copies = broadcast_if(again.select(F.col("repeat_row_id").alias("id")), BROADCAST_REPEATS)
+        first = lambda records: cut(records.join(copies, "id", "left_anti"), "records")
         bank = first(bank_records(read_table(spark, sf_dir, "source_a"), parties))
         ledger = first(ledger_records(read_table(spark, sf_dir, "source_b"), parties))
         return keep(linked_records(bank, ledger), "pairs"), again
