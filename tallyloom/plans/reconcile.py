@@ -177,7 +177,10 @@ def best_date(spark: SparkSession, d: str) -> DataFrame:
     return _a(spark, d).select("row_id", vl.best_date(F.col("date"), F.to_date("loaded_at")).cast("string").alias("day"))
 
 
-@query()
+@query(
+    """WITH s AS (SELECT row_id, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(concat_ws('|', id, CAST(row_id AS VARCHAR)))) AS h FROM source_a)
+       SELECT row_id, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || (['8', '9', 'a', 'b'])[(instr('0123456789abcdef', h[17:17]) - 1) % 4 + 1] || h[18:20] || '-' || h[21:32] AS uuid FROM s"""
+)
 def name_uuids(spark: SparkSession, d: str) -> DataFrame:
     return _a(spark, d).select("row_id", vl.name_uuid("6ba7b811-9dad-11d1-80b4-00c04fd430c8", F.concat_ws("|", "id", F.col("row_id").cast("string"))).alias("uuid"))
 
