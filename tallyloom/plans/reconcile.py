@@ -13,6 +13,7 @@ from tallyloom.functions import values as vl
 from tallyloom.operators import audit as au
 from tallyloom.operators import checks as ck
 from tallyloom.operators import matching as mt
+from tallyloom.operators import namepairs as npairs
 from tallyloom.session import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -250,6 +251,13 @@ def _whole_name_pairs(spark: SparkSession, d: str) -> DataFrame:
     return met.where(F.array_min(F.array_intersect("kx", "ky")) == F.col("k")).select("x", "y")
 
 
+def _worded_names(spark: SparkSession, d: str, text: Column) -> list[DataFrame]:
+    """Distinct names of either table with their lower-case words and the text to be scored."""
+    words = F.array_join(F.filter(F.split(F.lower("name"), r"[^\p{L}\p{N}]+"), lambda w: w != ""), " ")
+    names = (read_table(spark, d, t).select(F.col("counterparty").alias("name")).where("name is not null").distinct() for t in ("source_a", "source_b"))
+    return [n.select("name", words.alias("words"), text.alias("text")) for n in names]
+
+
 @query()
 def levenshtein_similarity_whole(spark: SparkSession, d: str) -> DataFrame:
     """The queries named whole score all names, whatever their letters and order of words;
@@ -269,7 +277,7 @@ def token_set_ratio_whole(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def jaro_winkler_similarity_whole(spark: SparkSession, d: str) -> DataFrame:
-    return _whole_name_pairs(spark, d).select("x", "y", F.round(sim.jaro_winkler_similarity(F.col("x"), F.col("y")), 6).alias("similarity"))
+    return npairs.scored_pairs(*_worded_names(spark, d, F.col("name")), npairs.JaroWinkler, "similarity")
 
 
 # ---------------------------------------------------------------- scans, filters
