@@ -141,6 +141,61 @@ class JaroWinkler:
         return np.where(base < 0.7, base, base + prefix * 0.1 * (1 - base))
 
 
+class Levenshtein:
+    """1 less the edit distance of a name to many over the longer length."""
+
+    def __init__(self, texts: list[str]) -> None:
+        self.letters = Letters(texts)
+
+    def of(self, text: str, at: np.ndarray) -> np.ndarray:
+        length = self.letters.length[at]
+        edits = self._edits(text, at, length)
+        for k in np.flatnonzero(length > BITS).tolist():
+            edits[k] = self._long(text, self.letters.names[at[k]])
+        return 1.0 - edits / np.maximum(length, len(text))
+
+    def _edits(self, text: str, at: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Columns of the table of distances as bits of their steps up and down, names of
+        up to a word of bits; all names at once, letter by letter of the text."""
+        up, down = np.full(len(at), 0xFFFFFFFFFFFFFFFF, dtype=np.uint64), np.zeros(len(at), dtype=np.uint64)
+        for c in text:
+            same = self.letters.of(c, at)
+            diagonal = same & up
+            diagonal += up
+            diagonal ^= up
+            diagonal |= same
+            diagonal |= down
+            right_up = diagonal | up
+            np.invert(right_up, out=right_up)
+            right_up |= down
+            up &= diagonal  # the steps down to the right
+            right_up <<= np.uint64(1)
+            right_up |= np.uint64(1)
+            up <<= np.uint64(1)
+            down = right_up & diagonal
+            diagonal |= right_up
+            np.invert(diagonal, out=diagonal)
+            up |= diagonal
+        inside = _below(length)
+        return len(text) + np.bitwise_count(up & inside).astype(np.int64) - np.bitwise_count(down & inside)
+
+    @staticmethod
+    def _long(a: str, b: str) -> int:
+        """The same for one name of any length."""
+        places: dict[str, int] = {}
+        for i, c in enumerate(b):
+            places[c] = places.get(c, 0) | 1 << i
+        inside = (1 << len(b)) - 1
+        up, down = inside, 0
+        for c in a:
+            same = places.get(c, 0)
+            diagonal = (((same & up) + up) ^ up) | same | down
+            right_up, right_down = down | ~(diagonal | up), diagonal & up
+            right_up = (right_up << 1 | 1) & inside
+            up, down = (right_down << 1 | ~(diagonal | right_up)) & inside, right_up & diagonal & inside
+        return len(a) + up.bit_count() - down.bit_count()
+
+
 def rounded(values: np.ndarray) -> np.ndarray:
     """Six places as the engine rounds: half up, on the shortest decimal of the number."""
     scaled = values * 1e6

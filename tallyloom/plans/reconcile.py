@@ -262,7 +262,7 @@ def _worded_names(spark: SparkSession, d: str, text: Column) -> list[DataFrame]:
 def levenshtein_similarity_whole(spark: SparkSession, d: str) -> DataFrame:
     """The queries named whole score all names, whatever their letters and order of words;
     the SQL of the others holds for one block of six letters (and two for ASCII) only."""
-    return _whole_name_pairs(spark, d).select("x", "y", F.round(sim.levenshtein_similarity(F.col("x"), F.col("y")), 6).alias("similarity"))
+    return npairs.scored_pairs(*_worded_names(spark, d, F.col("name")), npairs.Levenshtein, "similarity")
 
 
 @query()

@@ -23,6 +23,7 @@ def invented_names(count, seed):
 
 WHOLE = {
     "jaro_winkler_similarity_whole": lambda x, y: F.round(sim.jaro_winkler_similarity(x, y), 6),
+    "levenshtein_similarity_whole": lambda x, y: F.round(sim.levenshtein_similarity(x, y), 6),
 }
 
 
