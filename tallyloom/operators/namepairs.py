@@ -196,6 +196,26 @@ class Levenshtein:
         return len(a) + up.bit_count() - down.bit_count()
 
 
+class Trigrams:
+    """Jaccard index of the padded trigrams of a text with many; the texts are in upper case."""
+
+    def __init__(self, texts: list[str]) -> None:
+        grams = [self._grams(t) for t in texts]
+        self.meet, self.sizes = Postings(grams), np.array([len(g) for g in grams], dtype=np.int64)
+
+    @staticmethod
+    def _grams(text: str) -> set[str]:
+        padded = f"  {text} " if text else ""
+        return {padded[k : k + 3] for k in range(len(padded) - 2)}
+
+    def of(self, text: str, at: np.ndarray) -> np.ndarray:
+        return self.jaccard(self._grams(text), at)
+
+    def jaccard(self, grams: set[str], at: np.ndarray) -> np.ndarray:
+        both = np.bincount(self.meet.of(grams), minlength=len(self.sizes))[at]
+        return both / np.maximum(len(grams) + self.sizes[at] - both, 1)
+
+
 def rounded(values: np.ndarray) -> np.ndarray:
     """Six places as the engine rounds: half up, on the shortest decimal of the number."""
     scaled = values * 1e6

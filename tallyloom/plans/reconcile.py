@@ -267,7 +267,7 @@ def levenshtein_similarity_whole(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def trigram_similarity_whole(spark: SparkSession, d: str) -> DataFrame:
-    return _whole_name_pairs(spark, d).select("x", "y", F.round(sim.trigram_similarity(F.col("x"), F.col("y")), 6).alias("similarity"))
+    return npairs.scored_pairs(*_worded_names(spark, d, F.upper("name")), npairs.Trigrams, "similarity")
 
 
 @query()
