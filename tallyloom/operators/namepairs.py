@@ -216,6 +216,21 @@ class Trigrams:
         return both / np.maximum(len(grams) + self.sizes[at] - both, 1)
 
 
+class TokenSets:
+    """0.7 of the Jaccard index of the words and 0.3 of that of the trigrams of the sorted
+    words, 0 without a shared word; the texts are distinct words in order."""
+
+    def __init__(self, texts: list[str]) -> None:
+        words = [t.split() for t in texts]
+        self.meet, self.sizes, self.trigrams = Postings(words), np.array([len(w) for w in words], dtype=np.int64), Trigrams(texts)
+
+    def of(self, text: str, at: np.ndarray) -> np.ndarray:
+        words = text.split()
+        both = np.bincount(self.meet.of(words), minlength=len(self.sizes))[at]
+        mixed = 0.7 * (both / np.maximum(len(words) + self.sizes[at] - both, 1)) + 0.3 * self.trigrams.of(text, at)
+        return np.where(both == 0, 0.0, mixed)
+
+
 def rounded(values: np.ndarray) -> np.ndarray:
     """Six places as the engine rounds: half up, on the shortest decimal of the number."""
     scaled = values * 1e6

@@ -235,22 +235,6 @@ def jaro_winkler_similarity(spark: SparkSession, d: str) -> DataFrame:
     return _name_pairs(spark, d).where(ascii_only("x") & ascii_only("y")).select("x", "y", F.round(sim.jaro_winkler_similarity(F.col("x"), F.col("y")), 6).alias("similarity"))
 
 
-def _whole_name_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Distinct names of either table that share a word, or a word less one letter of
-    either, wherever it stands."""
-
-    def keyed(table: str, n: str) -> DataFrame:
-        words = F.array_distinct(F.filter(F.split(F.lower(n), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
-        less_one = lambda w: F.transform(F.sequence(F.lit(1), F.length(w)), lambda k: F.concat(F.substring(w, F.lit(1), k - 1), F.substring(w, k + 1, F.length(w))))
-        keys = F.array_distinct(F.filter(F.concat(words, F.flatten(F.transform(words, less_one))), lambda w: w != ""))
-        names = read_table(spark, d, table).select(F.col("counterparty").alias(n)).where("counterparty is not null").distinct()
-        return names.select(n, keys.alias(f"k{n}")).select("*", F.explode(f"k{n}").alias("k"))
-
-    # A pair counts under the least key it shares, so that no pair moves to be made distinct.
-    met = keyed("source_a", "x").join(keyed("source_b", "y"), "k")
-    return met.where(F.array_min(F.array_intersect("kx", "ky")) == F.col("k")).select("x", "y")
-
-
 def _worded_names(spark: SparkSession, d: str, text: Column) -> list[DataFrame]:
     """Distinct names of either table with their lower-case words and the text to be scored."""
     words = F.array_join(F.filter(F.split(F.lower("name"), r"[^\p{L}\p{N}]+"), lambda w: w != ""), " ")
@@ -272,7 +256,8 @@ def trigram_similarity_whole(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def token_set_ratio_whole(spark: SparkSession, d: str) -> DataFrame:
-    return _whole_name_pairs(spark, d).select("x", "y", sim.token_set_ratio(F.col("x"), F.col("y")).alias("ratio"))
+    line = F.array_join(F.sort_array(F.array_distinct(tx.tokenize(F.col("name")))), " ")
+    return npairs.scored_pairs(*_worded_names(spark, d, line), npairs.TokenSets, "ratio")
 
 
 @query()

@@ -25,6 +25,7 @@ WHOLE = {
     "jaro_winkler_similarity_whole": lambda x, y: F.round(sim.jaro_winkler_similarity(x, y), 6),
     "levenshtein_similarity_whole": lambda x, y: F.round(sim.levenshtein_similarity(x, y), 6),
     "trigram_similarity_whole": lambda x, y: F.round(sim.trigram_similarity(x, y), 6),
+    "token_set_ratio_whole": sim.token_set_ratio,
 }
 
 
