@@ -32,7 +32,12 @@ WHOLE = {
 @pytest.mark.parametrize("name", WHOLE)
 def test_names_of_one_word_are_many_tasks(spark, tmp_path, name):
     d = name_tables(tmp_path, spark, [None, *invented_names(700, 1)], invented_names(300, 2))
+    most = "spark.sql.autoBroadcastJoinThreshold"
+    old = spark.conf.get(most)
+    spark.conf.set(most, "-1")  # as for tables too large for it
     got = QUERIES[name](spark, d).withColumn("task", F.spark_partition_id()).cache()
+    got.count()
+    spark.conf.set(most, old)
     pairs = got.groupBy("x", "y").count()
     assert pairs.where("count > 1").count() == 0 and got.count() > 150_000
     # The word that all share is no task of its own: no task has half of the pairs.
